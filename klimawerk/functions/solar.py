@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from klimawerk.functions.measures import nearest
-
 
 def declination(day_of_year: Column) -> Column:
     """Solar declination in degrees."""
@@ -14,11 +12,10 @@ def declination(day_of_year: Column) -> Column:
 
 
 def day_length(latitude: Column, date: Column) -> Column:
-    """Hours between sunrise and sunset, 24 in polar day and 0 in polar night, two decimals."""
+    """Hours between sunrise and sunset, 24 in polar day and 0 in polar night."""
     cos_hour_angle = -F.tan(F.radians(latitude)) * F.tan(F.radians(declination(F.dayofyear(date))))
-    hours = (
+    return (
         F.when(cos_hour_angle < -1, 24.0)
         .when(cos_hour_angle > 1, 0.0)
         .otherwise(2 * F.degrees(F.acos(cos_hour_angle)) / 15)
     )
-    return nearest(hours, 2)

@@ -9,16 +9,19 @@ row per recorded year on a calendar day, also for a station that holds a large s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import month_label, parse_day, year_free_date
-from klimawerk.functions.measures import mean, measured, settle, threshold_flags
+from klimawerk.functions.measures import mean, measured, sentinels, settled, threshold_flags
 from klimawerk.schema import MAX_MISSING, MEASURES, MIN_MONTHS, SENTINEL
 
 STATION_YEAR = ["station_id", "Jahr"]
 CALENDAR_DAY = ["station_id", "Monat", "Tag"]
 
+# Aggregate: the months seen, one bit each. A plain hash aggregate where a distinct count would expand the rows.
+MONTH_SET = "bit_or(shiftleft(1, Monat))"
+
 
 def add_date_parts(raw: DataFrame) -> DataFrame:
     """``MESS_DATUM`` to Date, Jahr, Monat, Tag; impossible days have NULL in all four."""
@@ -29,20 +32,11 @@ def add_date_parts(raw: DataFrame) -> DataFrame:
     })
 
 
-def _month_set() -> Column:
-    """Aggregate: the months seen, one bit each. A plain hash aggregate where a distinct count would expand rows."""
-    return F.bit_or(F.expr("shiftleft(1, Monat)"))
-
-
-def _sentinels(column: str) -> Column:
-    return F.count_if(F.col(column) == SENTINEL)
-
-
 def complete_years(days: DataFrame) -> DataFrame:
     """Station-years with rows in at least eleven months, whatever the rows hold."""
     return (
         days.groupBy(*STATION_YEAR)
-        .agg(F.bit_count(_month_set()).cast("int").alias("n_months"))
+        .agg(F.expr(f"bit_count({MONTH_SET})").alias("n_months"))
         .filter(F.col("n_months") >= MIN_MONTHS)
     )
 
@@ -54,12 +48,12 @@ def keep_complete_years(days: DataFrame) -> DataFrame:
 
 def missing_counts(days: DataFrame) -> DataFrame:
     """Sentinels per station-year and measurement."""
-    return days.groupBy(*STATION_YEAR).agg(*[_sentinels(c).alias(f"{c}_missing") for c in MEASURES])
+    return days.groupBy(*STATION_YEAR).agg(*[F.expr(sentinels(c)).alias(f"{c}_missing") for c in MEASURES])
 
 
 def day_of_year_means(days: DataFrame) -> DataFrame:
     """Mean of the valid values per station, month and day."""
-    return days.groupBy(*CALENDAR_DAY).agg(*[mean(measured(F.col(c))).alias(f"{c}_mean") for c in MEASURES])
+    return days.groupBy(*CALENDAR_DAY).agg(*[mean(measured(c)).alias(f"{c}_mean") for c in MEASURES])
 
 
 def fill_gaps(days: DataFrame) -> DataFrame:
@@ -68,21 +62,22 @@ def fill_gaps(days: DataFrame) -> DataFrame:
     A measurement with 60 or more sentinels in a year is NULL for that whole year. Other sentinels become the mean of
     the valid values of that calendar day over all complete years, also of those that are set to NULL. NULL stays.
     """
-    year = Window.partitionBy(*STATION_YEAR)
-    calendar_day = Window.partitionBy(*CALENDAR_DAY)
+    year = f"over (partition by {', '.join(STATION_YEAR)})"
+    calendar_day = f"over (partition by {', '.join(CALENDAR_DAY)})"
     counted = (
         days.filter(F.col("Date").isNotNull())
         .withColumns({
-            "n_months": F.bit_count(_month_set().over(year)),
-            **{f"{c}_missing": _sentinels(c).over(year) for c in MEASURES},
+            "n_months": F.expr(f"bit_count({MONTH_SET} {year})"),
+            **{f"{c}_missing": F.expr(f"{sentinels(c)} {year}") for c in MEASURES},
         })
         .filter(F.col("n_months") >= MIN_MONTHS)
         .drop("n_months")
     )
     filled = counted.withColumns({
-        c: F.when(F.col(f"{c}_missing") >= MAX_MISSING, None)
-        .when(F.col(c) == SENTINEL, settle(F.avg(measured(F.col(c))).over(calendar_day)))
-        .otherwise(F.col(c).cast("double"))
+        c: F.expr(
+            f"case when {c}_missing >= {MAX_MISSING} then null "
+            f"when {c} = {SENTINEL}D then {settled(f'avg({measured(c)}) {calendar_day}')} else cast({c} as double) end"
+        )
         for c in MEASURES
     })
     return filled.drop(*[f"{c}_missing" for c in MEASURES])

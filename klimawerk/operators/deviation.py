@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from klimawerk.functions.dates import in_period
+from klimawerk.functions.dates import period_bounds
 from klimawerk.functions.measures import mean, nearest
 from klimawerk.operators.normals import METRICS, metric_of_year
 from klimawerk.operators.slices import select_days
@@ -28,23 +28,24 @@ def deviations(
     second level averages the years of the period and picks the selected one.
     """
     metrics = metrics or METRICS
-    selected, reference = F.col("Jahr") == year, in_period(F.col("Jahr"), period)
+    start, end = period_bounds(period)
+    selected, reference = f"Jahr = {int(year)}", f"Jahr between {start} and {end}"
     both = (
         select_days(clean, month=month)
-        .filter(selected | reference)
+        .filter(f"{selected} or {reference}")
         .groupBy("station_id", "Jahr")
         .agg(*[metric_of_year(m) for m in metrics])
         .groupBy("station_id")
         .agg(
-            F.count_if(selected).alias("n_selected"),
-            *[F.max(F.when(selected, F.col(m))).alias(m) for m in metrics],
-            *[mean(F.when(reference, F.col(m))).alias(f"{m}_normal") for m in metrics],
+            F.expr(f"count_if({selected})").alias("n_selected"),
+            *[F.expr(f"max(if({selected}, {m}, null))").alias(m) for m in metrics],
+            *[mean(f"if({reference}, {m}, null)").alias(f"{m}_normal") for m in metrics],
         )
         .filter(F.col("n_selected") > 0)
     )
     return both.select(
         "station_id",
         *[c for m in metrics for c in (
-            F.col(m), F.col(f"{m}_normal"), nearest(F.col(m) - F.col(f"{m}_normal")).alias(f"{m}_diff")
+            m, f"{m}_normal", nearest(f"{m} - {m}_normal").alias(f"{m}_diff")
         )],
     )

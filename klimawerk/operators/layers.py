@@ -21,5 +21,5 @@ def layer_values(readings: DataFrame) -> DataFrame:
     return (
         readings.join(F.broadcast(layer_catalogue(readings.sparkSession)), "layer")
         .withColumn("value", value)
-        .withColumn("label", F.format_string("%s: %.1f %s", "alias", "value", "unit"))
+        .withColumn("label", F.when(F.col("value").isNotNull(), F.format_string("%s: %.1f %s", "alias", "value", "unit")))
     )

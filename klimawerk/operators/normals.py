@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import in_period, is_leap_day, period_bounds, year_free_date
-from klimawerk.functions.measures import mean, settle, total
+from klimawerk.functions.measures import mean, settled, total
 from klimawerk.operators.slices import select_days
 from klimawerk.schema import NORMAL_DIVISOR, PERIODS
 
@@ -80,7 +80,7 @@ def daily_normals(clean: DataFrame, period: str | tuple[int, int], divisor: int
         .groupBy("station_id", F.col("Monat").alias("Month"), F.col("Tag").alias("Day"))
         .agg(
             mean("TMK").alias("Average_TMK"),
-            settle(total("RSK") / divisor).alias("Average_RSK"),
+            F.expr(settled(f"coalesce(sum(RSK), 0D) / {divisor}")).alias("Average_RSK"),
             total("SDK").alias("Average_SDK"),
         )
     )

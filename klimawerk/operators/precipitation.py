@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from klimawerk.functions.measures import mean
 from klimawerk.functions.scales import precip_class, precip_scale
 
 
 def intensity_classes(clean: DataFrame) -> DataFrame:
     """Days and mean scaled amount per station, year and class; the class of missing amounts is NULL."""
     return clean.groupBy("station_id", "Jahr", precip_class(F.col("RSK")).alias("class_from")).agg(
-        F.count(F.lit(1)).alias("n_days"), mean(precip_scale(F.col("RSK"))).alias("mean_scaled")
+        F.count(F.lit(1)).alias("n_days"), F.round(F.avg(precip_scale(F.col("RSK"))), 9).alias("mean_scaled")
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from klimawerk.functions.measures import settle
 from klimawerk.operators.slices import nonzero
 
 
@@ -19,7 +18,7 @@ def running_total(
     so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     result = {}
     for column, name in columns.items():
-        result[name] = settle(F.sum(column).over(so_far))
+        result[name] = F.round(F.sum(column).over(so_far), 9)
         if null_policy == "propagate":
             result[name] = F.when(~F.max(F.col(column).isNull()).over(so_far), result[name])
     return table.withColumns(result)

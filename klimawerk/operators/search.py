@@ -47,7 +47,7 @@ def search_builder(table: DataFrame, tree: dict) -> DataFrame:
 
 def text_search(table: DataFrame, text: str) -> DataFrame:
     """Rows whose cells together contain every word of the text, in any case."""
-    row_text = F.lower(F.concat_ws("  ", *[F.col(f"`{c}`").cast("string") for c in table.columns]))
+    row_text = F.lower(F.concat_ws("  ", *[f"`{c}`" for c in table.columns]))
     return reduce(lambda t, word: t.filter(row_text.contains(word)), text.lower().split(), table)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from klimawerk.functions.measures import mean, nearest, total
+from klimawerk.functions.measures import mean, nearest, settled, total
 
 
 def select_days(
@@ -33,11 +33,11 @@ def temperature_totals(days: DataFrame) -> DataFrame:
         mean("TNK").alias("TNK_avg"),
         mean("TMK").alias("TMK_avg"),
         mean("TXK").alias("TXK_avg"),
-        F.count_if(F.col("TXK") >= 25).alias("Sommertage"),
-        F.count_if(F.col("TXK") >= 30).alias("Hitzetage"),
-        F.count_if(F.col("TNK") >= 20).alias("Tropennaechte"),
-        F.count_if(F.col("TNK") < 0).alias("Frosttage"),
-        F.count_if(F.col("TXK") < 0).alias("Eistage"),
+        F.expr("count_if(TXK >= 25)").alias("Sommertage"),
+        F.expr("count_if(TXK >= 30)").alias("Hitzetage"),
+        F.expr("count_if(TNK >= 20)").alias("Tropennaechte"),
+        F.expr("count_if(TNK < 0)").alias("Frosttage"),
+        F.expr("count_if(TXK < 0)").alias("Eistage"),
     )
 
 
@@ -62,7 +62,7 @@ def temperature_record(yearly: DataFrame) -> DataFrame:
     counts = ["Sommertage", "Hitzetage", "Tropennaechte", "Frosttage", "Eistage"]
     return yearly.groupBy("station_id").agg(
         *[mean(c).alias(f"{c}_avg") for c in ("TNK", "TMK", "TXK")],
-        *[nearest(mean(c)).alias(c) for c in counts],
+        *[nearest(settled(f"avg({c})")).alias(c) for c in counts],
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import month_label
+from klimawerk.functions.measures import nearest
 from klimawerk.functions.solar import day_length
 from klimawerk.schema import DEFAULT_LAT
 
@@ -15,7 +16,9 @@ def day_lengths(stations: DataFrame, year: int, month: int | None = None) -> Dat
     days = F.sequence(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31)))
     series = (
         stations.select("station_id", "lat", F.explode(days).alias("date"))
-        .withColumn("sunshine_duration", day_length(F.col("lat"), F.col("date")))
+        .withColumn("hours", day_length(F.col("lat"), F.col("date")))
+        .withColumn("sunshine_duration", nearest("hours", 2))
+        .drop("hours")
         .withColumn("Monat", F.month("date"))
         .withColumn("Monat_german", month_label(F.col("Monat")))
     )

@@ -20,7 +20,7 @@ def daily_table(clean: DataFrame) -> DataFrame:
         F.col("RSK").alias("Niederschlag"),
         F.col("SDK").alias("Sonnenscheindauer"),
         F.col("NM").alias("Bedeckungsgrad"),
-        nearest(F.col("TXK") - F.col("TNK")).alias("Temperaturspanne"),
+        nearest("TXK - TNK").alias("Temperaturspanne"),
     )
 
 
@@ -33,7 +33,7 @@ def _averages():
         "SDK": "Sonnenscheindauer",
         "NM": "Bedeckungsgrad",
     }
-    return [nearest(F.col(c)).alias(name) for c, name in names.items()]
+    return [nearest(c).alias(name) for c, name in names.items()]
 
 
 def averaged_table(clean: DataFrame, month: int | None = None) -> DataFrame:

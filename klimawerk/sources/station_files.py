@@ -13,12 +13,12 @@ from klimawerk.schema import STATION_FILE
 
 
 def station_id_of(path: Column) -> Column:
-    """Station number in the last four or five digits before ``.txt``, as text of at least four digits.
+    """Station number in the last four or five digits before ``.txt``, as text of at least four digits; NULL without one.
 
     ``<name>.txt`` may be a file or, when Spark wrote it, a folder of part files.
     """
     digits = F.regexp_extract(path, r"(\d{4,5})\.txt(?:/[^/]*)?$", 1)
-    return F.format_string("%04d", F.nullif(digits, F.lit("")).cast("int"))
+    return F.when(digits != "", F.format_string("%04d", digits.try_cast("int")))
 
 
 def read_station_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

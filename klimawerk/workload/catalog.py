@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import month_label
+from klimawerk.functions.measures import nearest
 from klimawerk.operators import (
     cleaning, deviation, geo, layers, normals, precipitation, running, search, slices, spells, sunshine, tables,
 )
@@ -49,7 +50,7 @@ def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = fn(spark, sf_dir)
         return result.withColumns({
-            name: F.round(F.col(f"`{name}`"), 6) for name, kind in result.dtypes if kind == "double"
+            name: nearest(f"`{name}`", 6) for name, kind in result.dtypes if kind == "double"
         })
 
     run.__doc__ = fn.__doc__
@@ -173,7 +174,7 @@ def flt_zero_temp(spark, sf_dir):
 
 @query
 def flt_station(spark, sf_dir):
-    return station_dim.find_station(inputs.stations(spark, sf_dir), "Supplier#000000000", "0001")
+    return station_dim.find_station(inputs.stations(spark, sf_dir), "Station 0001", "0001")
 
 
 @query

@@ -92,11 +92,12 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = (
         table(spark, sf_dir, "supplier")
         .groupBy((F.expr("s_suppkey div 8") % 9999).alias("reg"))
-        .agg(F.min("s_name").alias("name"), F.min("s_nationkey").alias("nation"))
+        .agg(F.min("s_nationkey").alias("nation"))
     )
+    number = F.format_string("%04d", F.col("reg") + 1)
     return blocks.select(
-        "name",
-        F.format_string("%04d", F.col("reg") + 1).alias("number"),
+        F.concat(F.lit("Station "), number).alias("name"),
+        number.alias("number"),
         (F.col("reg") % 900).cast("double").alias("height"),
         (F.lit(6.0) + F.col("nation") % 9).alias("lon"),
         (F.lit(47.0) + (F.col("reg") % 80) / 10).alias("lat"),

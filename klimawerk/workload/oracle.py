@@ -12,11 +12,6 @@ from klimawerk.workload.catalog import ALL_PERIODS, LEAP_MONTH, MONTH, PERIOD, Y
 START, END = PERIOD
 
 
-def _r(expression: str) -> str:
-    """A double for comparison."""
-    return f"(round(round({expression}, 9), 6) + 0.0)"
-
-
 def _s(expression: str) -> str:
     """Sum or mean without last-bit noise."""
     return f"(round({expression}, 9) + 0.0)"
@@ -32,6 +27,11 @@ def _near(expression: str, digits: int = 1) -> str:
     )
 
 
+def _r(expression: str) -> str:
+    """A double for comparison."""
+    return _near(_s(expression), 6)
+
+
 def _list(items) -> str:
     return ", ".join(items)
 
@@ -227,7 +227,7 @@ lengths AS (
 
 STATIONS = """
 stations AS (
-  SELECT min(s_name) AS name, printf('%04d', CAST(s_suppkey // 8 % 9999 + 1 AS INT)) AS number,
+  SELECT printf('Station %04d', CAST(s_suppkey // 8 % 9999 + 1 AS INT)) AS name, printf('%04d', CAST(s_suppkey // 8 % 9999 + 1 AS INT)) AS number,
     CAST(s_suppkey // 8 % 9999 % 900 AS DOUBLE) AS height, 6.0::DOUBLE + min(s_nationkey) % 9 AS lon,
     47.0::DOUBLE + (s_suppkey // 8 % 9999 % 80)::DOUBLE / 10 AS lat
   FROM supplier GROUP BY s_suppkey // 8 % 9999)
@@ -298,7 +298,7 @@ FROM valid GROUP BY 1, 2, 3""",
     "flt_zero_temp": YEARLY_MONTH + f"""
 SELECT station_id, Jahr, {_r('TNK')} AS TNK, {_r('TMK')} AS TMK, {_r('TXK')} AS TXK
 FROM yearly WHERE TMK <> 0 AND TXK <> 0 AND TNK <> 0""",
-    "flt_station": f"WITH {STATIONS} SELECT * FROM stations WHERE name = 'Supplier#000000000' AND number = '0001'",
+    "flt_station": f"WITH {STATIONS} SELECT * FROM stations WHERE name = 'Station 0001' AND number = '0001'",
     "jn_station": CLEAN + f""", {STATIONS}
 SELECT station_id, Date, {_r('TMK')} AS TMK, name, height, {_r('lon')} AS lon, {_r('lat')} AS lat
 FROM clean JOIN stations ON station_id = number""",
