@@ -86,7 +86,7 @@ def test_local_time_does_not_depend_on_session_zone(spark):
 def test_nearest_on_ties_and_signs(spark):
     values = [0.15, 0.25, 0.35, 0.45, 2.5, -0.04, -0.05, 3.0, None]
     got = [r[0] for r in column(spark, values).select(measures.nearest("v")).collect()]
-    assert got == [0.1, 0.2, 0.3, 0.5, 2.5, 0.0, 0.0, 3.0, None]
+    assert got == [0.1, 0.2, 0.3, 0.4, 2.5, 0.0, 0.0, 3.0, None]
 
 
 @settings(max_examples=5, deadline=None)
