@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from klimawerk.functions.dates import in_period, is_leap_day, period_bounds, year_free_date
+from klimawerk.functions.dates import in_period, is_leap_day, period_bounds
 from klimawerk.functions.measures import mean, settled, total
 from klimawerk.operators.slices import select_days
 from klimawerk.schema import NORMAL_DIVISOR, PERIODS
@@ -87,11 +87,14 @@ def daily_normals(clean: DataFrame, period: str | tuple[int, int], divisor: int
 
 
 def join_year_normals(days: DataFrame, day_normals: DataFrame) -> DataFrame:
-    """Daily slice with the normals of the same month and day; NULL on 29 February."""
+    """Daily slice with the normals of the same month and day; NULL on 29 February.
+
+    The key is the pair month and day rather than a date made of it: the aggregate is already partitioned by them.
+    """
     keyed = day_normals.select(
-        "station_id", year_free_date(F.col("Month"), F.col("Day")).alias("Date_without_year"), "Average_TMK", "Average_RSK"
+        "station_id", F.col("Month").alias("Monat"), F.col("Day").alias("Tag"), "Average_TMK", "Average_RSK"
     )
-    return days.join(keyed, ["station_id", "Date_without_year"], "left")
+    return days.join(keyed, ["station_id", "Monat", "Tag"], "left")
 
 
 def join_month_normals(days: DataFrame, day_normals: DataFrame, year: int, month: int) -> DataFrame:

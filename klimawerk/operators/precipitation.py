@@ -13,3 +13,9 @@ def intensity_classes(clean: DataFrame) -> DataFrame:
     return clean.groupBy("station_id", "Jahr", precip_class(F.col("RSK")).alias("class_from")).agg(
         F.count(F.lit(1)).alias("n_days"), F.round(F.avg(precip_scale(F.col("RSK"))), 9).alias("mean_scaled")
     )
+
+
+def yearly_log_scale(yearly: DataFrame) -> DataFrame:
+    """Yearly amounts on the logarithmic scale of the whole record, for years that have precipitation."""
+    rows = yearly.filter(F.col("RSK") > 0)
+    return rows.select("station_id", "Jahr", "RSK", F.round(F.log("RSK"), 9).alias("RSK_scaled"))

@@ -22,22 +22,13 @@ def run_position(days: DataFrame, value: Column, keys: list[str], order: str, na
     )
 
 
-def with_rain_runs(clean: DataFrame) -> DataFrame:
-    """Position of each row within the dry or wet run of its station-year."""
-    return run_position(clean, F.col("Regentag"), ["station_id", "Jahr"], "Date", "run_length")
-
-
-def spell_aggregates() -> list[Column]:
-    """Longest run of each kind; NULL for a group without one."""
-    return [
+def longest_spells(clean: DataFrame) -> DataFrame:
+    """Longest dry and wet run per station and year; NULL for a year without a run of that kind."""
+    runs = run_position(clean, F.col("Regentag"), ["station_id", "Jahr"], "Date", "run_length")
+    return runs.groupBy("station_id", "Jahr").agg(
         F.max(F.when(F.col("Regentag") == 0, F.col("run_length"))).alias("Maximale_Trockenperiode"),
         F.max(F.when(F.col("Regentag") == 1, F.col("run_length"))).alias("Maximale_Regenperiode"),
-    ]
-
-
-def longest_spells(clean: DataFrame) -> DataFrame:
-    """Longest dry and wet run per station and year."""
-    return with_rain_runs(clean).groupBy("station_id", "Jahr").agg(*spell_aggregates())
+    )
 
 
 def warm_cold_class(days: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from klimawerk.functions.dates import first_of_january
 from klimawerk.functions.measures import mean, total
 from klimawerk.operators.slices import select_days
-from klimawerk.operators.spells import spell_aggregates, with_rain_runs
+from klimawerk.operators.spells import longest_spells
 from klimawerk.schema import DAY_COUNTS
 
 
@@ -35,11 +35,7 @@ def yearly(clean: DataFrame, month: int | None = None) -> DataFrame:
 def yearly_with_spells(clean: DataFrame, month: int | None = None) -> DataFrame:
     """The rollup with the longest run of dry and of rain rows.
 
-    The run windows and the aggregate share the exchange by station and year, so no join is needed.
+    Only four narrow columns go through the exchange and sort that the runs need; the wide rollup is combined before
+    its exchange. Both come out partitioned by station and year, so joining them moves no rows.
     """
-    return (
-        with_rain_runs(select_days(clean, month=month))
-        .groupBy("station_id", "Jahr")
-        .agg(*yearly_aggregates(), *spell_aggregates())
-        .withColumn("Day", first_of_january(F.col("Jahr")))
-    )
+    return yearly(clean, month).join(longest_spells(select_days(clean, month=month)), ["station_id", "Jahr"])

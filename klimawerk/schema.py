@@ -61,7 +61,6 @@ BAND_RANGES = {"temp": (-20.0, 40.0), "pressure": (950.0, 1050.0), "humidity": (
 
 DEFAULT_STATION = "0403"
 DEFAULT_LAT = 52.4537
-DEFAULT_LON = 13.3017
 
 # layer, alias, unit, raw value is in tenths
 MAP_LAYERS = [
@@ -75,6 +74,14 @@ MAP_LAYERS = [
     ("dwd:SDMS_17_1961_30", "Sonnenscheindauer pro Jahr (1961-1990)", "Stunden", False),
 ]
 
+# Daily rows before cleaning (the columns every source has) and after it.
+RAW_DAYS = "station_id string, MESS_DATUM int, " + ", ".join(f"{m} double" for m in MEASURES)
+CLEAN_DAYS = (
+    RAW_DAYS
+    + ", Date date, Jahr int, Monat int, Tag int, Day date, Date_without_year date, Monat_german string, "
+    + ", ".join(f"{name} int" for name, *_ in THRESHOLD_DAYS)
+)
+
 # Public column layout of a daily station file.
 STATION_FILE = T.StructType([
     T.StructField("STATIONS_ID", T.IntegerType()),

@@ -20,5 +20,6 @@ def write_clean(clean: DataFrame, path: str) -> None:
     )
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_clean(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """With a schema no job is needed to look it up; without one, extra columns of the source files are kept."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)

@@ -24,6 +24,7 @@ def station_id_of(path: Column) -> Column:
 def read_station_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All matched station files as one DataFrame; a new station only needs a new file.
 
+    The station number comes from the file name, or from the rows where the name has none.
     Names and order of the header are checked against the schema, so a file of another layout fails loudly.
     """
     return (
@@ -34,7 +35,9 @@ def read_station_files(spark: SparkSession, paths: str | list[str]) -> DataFrame
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(paths)
-        .withColumn("station_id", station_id_of(F.col("_metadata.file_path")))
+        .withColumn("station_id", F.coalesce(
+            station_id_of(F.col("_metadata.file_path")), F.format_string("%04d", F.col("STATIONS_ID"))
+        ))
         .drop("eor")
     )
 

@@ -461,6 +461,11 @@ def fn_precip_classes(spark, sf_dir):
     return precipitation.intensity_classes(inputs.cleaned(spark, sf_dir))
 
 
+@query
+def fn_precip_record_scale(spark, sf_dir):
+    return precipitation.yearly_log_scale(yearly(inputs.cleaned(spark, sf_dir)))
+
+
 # Shapes and layers
 
 
@@ -508,21 +513,17 @@ def live_bands(spark, sf_dir):
     )
 
 
-def _landed(spark, sf_dir):
-    folder = fresh_folder(spark, "landed")
-    inputs.payloads(spark, sf_dir).write.json(folder)
-    return live.read_landed_stream(spark, folder)
-
-
 @query
 def live_normalise_stream(spark, sf_dir):
     table = fresh_folder(spark, "normalised")
-    live.write_normalised(_landed(spark, sf_dir), table, fresh_folder(spark, "checkpoint")).awaitTermination()
+    stream = inputs.payloads(spark, sf_dir, stream=True)
+    live.write_normalised(stream, table, fresh_folder(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(table)
 
 
 @query
 def live_latest_stream(spark, sf_dir):
     table = fresh_folder(spark, "latest")
-    live.write_latest(_landed(spark, sf_dir), table, fresh_folder(spark, "checkpoint")).awaitTermination()
+    stream = inputs.payloads(spark, sf_dir, stream=True)
+    live.write_latest(stream, table, fresh_folder(spark, "checkpoint")).awaitTermination()
     return live.read_latest(spark, table)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klimawerk.operators.cleaning import clean
-from klimawerk.schema import MAP_LAYERS, SENTINEL
+from klimawerk.schema import CLEAN_DAYS, MAP_LAYERS, RAW_DAYS, SENTINEL
 from klimawerk.session import shared_folder
 from klimawerk.sources.materialised import read_clean, write_clean
 
@@ -76,7 +76,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _prepared_path(spark, sf_dir, "daily")
     if not _is_written(spark, path):
         derive_daily(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(RAW_DAYS).parquet(path)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _prepared_path(spark, sf_dir, "clean")
     if not _is_written(spark, path):
         write_clean(clean(daily(spark, sf_dir)), path)
-    return read_clean(spark, path)
+    return read_clean(spark, path, CLEAN_DAYS)
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +162,12 @@ def _documents(features: DataFrame) -> DataFrame:
     return features.groupBy("block").agg(F.to_json(collection).alias("document")).select("document")
 
 
-def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One live payload per event."""
+def payloads(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """One live payload per event, as a batch or as a stream over the files of the same table."""
+    events = table(spark, sf_dir, "events")
+    if stream:
+        # As a pattern, the name may be a single file as well as a folder of part files.
+        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
     event_id = F.col("event_id")
     rain = F.struct((event_id % 50 / 10).alias("1h"))
     observation = F.struct(
@@ -177,7 +181,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.col("event_type").alias("description"))).alias("weather"),
         F.when(event_id % 3 != 0, rain).alias("rain"),
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.format_string("%04d", F.col("user_id") % 5 + 1).alias("station_id"),
         F.to_json(F.struct(F.array(observation).alias("list"))).alias("payload"),
     )

@@ -451,6 +451,8 @@ FROM angle a LEFT JOIN clean c ON a.station_id = c.station_id AND a.date = c.Dat
 SELECT station_id, Jahr, {_CLASS} AS class_from, count(*) AS n_days,
   {_r('avg(CASE WHEN RSK = 0 THEN 0.0 ELSE ln(1 + RSK) END)')} AS mean_scaled
 FROM clean GROUP BY 1, 2, 3""",
+    "fn_precip_record_scale": YEARLY + f"""
+SELECT station_id, Jahr, {_r('RSK')} AS RSK, {_r('ln(RSK)')} AS RSK_scaled FROM yearly WHERE RSK > 0""",
     "geo_bbox": _SQUARES + "SELECT min(x) AS xmin, min(y) AS ymin, max(x + 1) AS xmax, max(y + 1) AS ymax FROM sq",
     "geo_boundary_edges": _SQUARES + """
 SELECT DISTINCT * FROM (
