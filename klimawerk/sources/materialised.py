@@ -9,7 +9,7 @@ def write_clean(clean: DataFrame, path: str) -> None:
     """Parquet with one folder per year, sorted by station and day.
 
     Years are few and most queries ask for one year or a reference period, so folders prune whole files; the sort lets
-    row-group bounds skip other stations. The rebalance splits large years and merges small ones by size.
+    row-group and page bounds skip other stations. The rebalance splits large years and merges small ones by size.
     """
     (
         clean.hint("rebalance", "Jahr")

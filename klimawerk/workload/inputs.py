@@ -112,9 +112,8 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as GeoJSON points, at most one hundred features in a document."""
+    """Every customer as a GeoJSON point in a document of its own, so that making them needs no exchange."""
     features = table(spark, sf_dir, "customer").select(
-        F.expr("c_custkey div 100").alias("block"),
         F.struct(
             F.lit("Feature").alias("type"),
             F.struct(
@@ -132,7 +131,7 @@ def point_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as unit squares of a grid one thousand wide, at most one hundred features in a document."""
+    """Every customer as a unit square of a grid one thousand wide, half of them written as multipolygons."""
     x, y = F.col("c_custkey") % 1000, F.expr("c_custkey div 1000")
 
     def corner(dx: int, dy: int) -> Column:
@@ -141,7 +140,6 @@ def outline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
     even = F.col("c_custkey") % 2 == 0
     features = table(spark, sf_dir, "customer").select(
-        F.expr("c_custkey div 100").alias("block"),
         F.struct(
             F.lit("Feature").alias("type"),
             F.struct(F.col("c_name").alias("name")).alias("properties"),
@@ -158,8 +156,8 @@ def outline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(features: DataFrame) -> DataFrame:
-    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("feature").alias("features"))
-    return features.groupBy("block").agg(F.to_json(collection).alias("document")).select("document")
+    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array("feature").alias("features"))
+    return features.select(F.to_json(collection).alias("document"))
 
 
 def payloads(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
@@ -171,7 +169,8 @@ def payloads(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFram
     event_id = F.col("event_id")
     rain = F.struct((event_id % 50 / 10).alias("1h"))
     observation = F.struct(
-        F.unix_timestamp("ts").alias("dt"),
+        # From the fields of the wall clock, which is UTC here whatever the session time zone is.
+        F.expr("unix_date(cast(ts as date)) * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts)").alias("dt"),
         F.struct(
             (event_id % 400 / 10 + 253.15).alias("temp"),
             (950 + event_id % 101).alias("pressure"),
