@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# They define the results and must not change.
+# Fixed values, down to the map layers: they define the results and must not change.
 SENTINEL = -999.0
 MIN_MONTHS = 11
 MAX_MISSING = 60
