@@ -64,23 +64,26 @@ def fill_gaps(days: DataFrame) -> DataFrame:
     """
     year = f"over (partition by {', '.join(STATION_YEAR)})"
     calendar_day = f"over (partition by {', '.join(CALENDAR_DAY)})"
+    # Both exchanges are stated, because the planner would place them after the inputs of the window functions, which
+    # double the width of a row.
     counted = (
         days.filter(F.col("Date").isNotNull())
+        .repartition(*STATION_YEAR)
         .withColumns({
             "n_months": F.expr(f"bit_count({MONTH_SET} {year})"),
-            **{f"{c}_missing": F.expr(f"{sentinels(c)} {year}") for c in MEASURES},
+            **{f"{c}_unusable": F.expr(f"{sentinels(c)} {year} >= {MAX_MISSING}") for c in MEASURES},
         })
         .filter(F.col("n_months") >= MIN_MONTHS)
         .drop("n_months")
     )
-    filled = counted.withColumns({
+    filled = counted.repartition(*CALENDAR_DAY).withColumns({
         c: F.expr(
-            f"case when {c}_missing >= {MAX_MISSING} then null "
+            f"case when {c}_unusable then null "
             f"when {c} = {SENTINEL}D then {settled(f'avg({measured(c)}) {calendar_day}')} else cast({c} as double) end"
         )
         for c in MEASURES
     })
-    return filled.drop(*[f"{c}_missing" for c in MEASURES])
+    return filled.drop(*[f"{c}_unusable" for c in MEASURES])
 
 
 def add_flags(days: DataFrame) -> DataFrame:
