@@ -3,8 +3,10 @@
 import pytest
 
 from conftest import SMALL
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from oracle_check import compare, connect
+from klimawerk.workload.catalog import QUERIES
+from klimawerk.workload.oracle import ORACLE
 
 NO_ROWS_AT_THIS_SIZE = {"tbl_text_search"}
 ACTIONS_INSIDE = {"live_normalise_stream", "live_latest_stream"}
@@ -15,15 +17,15 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    problems = compare(queries()[name](spark, SMALL), duck, oracle_sql()[name])
+    problems = compare(QUERIES[name](spark, SMALL), duck, ORACLE[name])
     assert [p for p in problems if not (p == "no rows" and name in NO_ROWS_AT_THIS_SIZE)] == []
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - ACTIONS_INSIDE))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ACTIONS_INSIDE))
 def test_plan_has_no_cross_join_and_no_python(spark, name):
-    plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for operator in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert operator not in plan
     # Only the one-row bounding box ends in a single task, after an aggregate in every task.
@@ -31,7 +33,7 @@ def test_plan_has_no_cross_join_and_no_python(spark, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
     assert entry(spark).count() > 0
 
 
