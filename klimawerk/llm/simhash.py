@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from klimawerk.llm.components import components
-from klimawerk.llm.storage import written
+from klimawerk.llm.storage import text_key, without, written
 from klimawerk.llm.text import LOWER
 
 SEED = 42
@@ -55,17 +55,21 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, text_key, fp): the fingerprint as a signed 64-bit number."""
     def sign(batches):
         for batch in batches:
             values = np.fromiter(
-                (fingerprint((t.as_py() or "").encode("utf-8"), width) for t in batch.column(1)), dtype=np.uint64,
+                (fingerprint((t.as_py() or "").encode("utf-8"), width) for t in batch.column(2)), dtype=np.uint64,
                 count=batch.num_rows,
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "text_key", "fp"]
+            )
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(sign, "doc_id bigint, fp bigint")
+    source = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")
+    )
+    return source.mapInArrow(sign, "doc_id bigint, text_key bigint, fp bigint")
 
 
 # --- the tries -------------------------------------------------------------------------------------------------------
@@ -240,7 +244,7 @@ def _joined(rows: np.ndarray, depth_of: dict[int, int], budget: int):
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
+    """(doc_id, text_key, fingerprint, component_id) of every row."""
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     grouped = components(links(distinct, budget))
@@ -250,5 +254,13 @@ def near_duplicates(
     lowest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     labels = named.join(lowest, "component").select("fp", "component_id")
     return prints.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4
+) -> DataFrame:
+    """The documents that bear their group's smallest id, with their own columns only; a group without any id stays whole."""
+    found = near_duplicates(docs, id_col, text_col, width, budget)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col, text_col)
