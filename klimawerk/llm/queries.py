@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from klimawerk.llm import exact, language, mixing, simhash, tokens, toxicity, winnowing
+from klimawerk.llm import exact, language, mixing, simhash, substring, suffixes, tokens, toxicity, winnowing
 from klimawerk.llm.storage import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_units(table(spark, sf_dir, "documents")).drop("text_key", "line")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,6 +53,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_toxicity, op4_token_counts, op5_exact_dedup, op6_mixing, op7_simhash, op8_language, op9_decontamination,
+        op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_token_counts, op5_exact_dedup, op6_mixing, op7_simhash, op8_language, op9_decontamination,
     )
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from klimawerk.llm.text import BITMAP_BITS
 from klimawerk.session import fresh_folder
 
 
@@ -29,3 +31,12 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) ->
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slots_bitmap(rows: DataFrame, hash_: Column) -> np.ndarray:
+    """One bit per slot of the hashes: two megabytes at any size, and at most 2^24 slot numbers reach the driver."""
+    slots = rows.select(F.shiftrightunsigned(hash_, 64 - BITMAP_BITS).cast("int").alias("slot")).distinct().toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+    at = slots.column("slot").to_numpy()
+    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bitmap

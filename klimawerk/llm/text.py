@@ -155,3 +155,12 @@ def grams(w: Words, hashes: np.ndarray, k: int) -> Grams:
     first = np.concatenate([[0], np.cumsum(count)])
     word = np.arange(first[-1]) + np.repeat(w.first[:-1] - first[:-1], count)
     return Grams(gram_hashes(hashes, k)[word] if len(word) else np.zeros(0, dtype=np.uint64), word, first)
+
+
+BITMAP_BITS = 24
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the slot of each hash, its first bits, is set."""
+    slots = hashes >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1

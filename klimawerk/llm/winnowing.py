@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from klimawerk.llm.storage import text_key, without, written
-from klimawerk.llm.text import NOT_ALNUM, chunks, gram_hashes, grams, minima, mix, word_hashes, words
+from klimawerk.llm.storage import slots_bitmap, text_key, without, written
+from klimawerk.llm.text import NOT_ALNUM, chunks, gram_hashes, grams, in_bitmap, minima, mix, word_hashes, words
 
 WINDOW, GRAM = 10, 5
-BITMAP_BITS = 24
 
 _PRINTS = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("lead", pa.int32()), ("around", pa.string())]))
 _SPARK_PRINTS = "array<struct<h: bigint, at: int, size: int, lead: int, around: string>>"
@@ -34,10 +33,6 @@ def _tagged(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(hashes + np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - BITMAP_BITS)
-
-
 def _context(w, i: int, at: int, size: int, reach: int) -> tuple[int, str]:
     """Words around a gram that can share a window with it: how many stand before it, and all of them."""
     low, high = max(int(w.first[i]), at - reach), min(int(w.first[i + 1]), at + size + reach)
@@ -73,9 +68,8 @@ def _doc_prints(texts: list[bytes], window: int, k: int, bitmap: np.ndarray, sho
 
     def keep(g, places, size, length, reach):
         tagged = _tagged(g.hash[places], size)
-        slots = _slot(tagged)
-        hit = (bitmap[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
-        for p, h in zip(places[hit == 1].tolist(), tagged[hit == 1].view(np.int64).tolist()):
+        hit = in_bitmap(bitmap, tagged)
+        for p, h in zip(places[hit].tolist(), tagged[hit].view(np.int64).tolist()):
             at = int(g.word[p])
             i = int(w.text[at])
             lead, around = _context(w, i, at, length, reach)
@@ -121,15 +115,6 @@ def item_fingerprints(items: DataFrame, id_col: str, text_col: str, window: int
     return written(signed.select("item", F.explode("prints").alias("p")).select("item", "p.*").distinct(), "item-prints")
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """One bit per slot; at most 2^24 slots reach the driver, however many items there are."""
-    slots = prints.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).cast("int").alias("slot")).distinct().toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    at = slots.column("slot").to_numpy()
-    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bitmap
-
-
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = WINDOW, k: int = GRAM,
@@ -138,7 +123,7 @@ def contamination(
     spark = docs.sparkSession
     prints = item_fingerprints(items, item_col, item_text_col, window, k)
     short = sorted(r[0] - 64 for r in prints.where("size > 64").select("size").distinct().collect())
-    bitmap = spark.sparkContext.broadcast(_bitmap(prints))
+    bitmap = spark.sparkContext.broadcast(slots_bitmap(prints, F.col("h")))
 
     def sign(batches):
         for batch in batches:
