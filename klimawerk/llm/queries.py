@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from klimawerk.llm import exact, language, mixing, simhash, substring, suffixes, tokens, toxicity, winnowing
+from klimawerk.llm import archives, exact, language, mixing, simhash, substring, suffixes, tokens, toxicity, winnowing
 from klimawerk.llm.storage import table
 
 
@@ -51,8 +51,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(docs, items).drop("text_key")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_token_counts, op5_exact_dedup, op6_mixing, op7_simhash, op8_language, op9_decontamination,
+        op10_warc,
     )
 }

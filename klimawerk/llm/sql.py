@@ -45,3 +45,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+# Base32 by the letter of each five bits; the digest is written as 160 binary digits.
+ORACLE["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages
+),
+bits AS (
+  SELECT page_id, payload_bytes, hex,
+         array_to_string([right(bin(16 + instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4) FOR i IN range(1, 41)], '') AS b
+  FROM p
+),
+coded AS (
+  SELECT page_id, payload_bytes, hex,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           list_sum([CASE WHEN substr(b, 5 * i + j + 1, 1) = '1' THEN 16 >> j ELSE 0 END FOR j IN range(0, 5)]) AS INTEGER), 1)
+           FOR i IN range(0, 32)], '')
+           AS payload_digest
+  FROM bits
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = min(page_id) OVER w THEN NULL ELSE min(page_id) OVER w END AS refers_to
+FROM coded WINDOW w AS (PARTITION BY hex)
+"""
