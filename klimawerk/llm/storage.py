@@ -25,7 +25,8 @@ def text_key(text: str | Column) -> Column:
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are not in ``dropped(doc_id, text_key)``, with their own columns only."""
     gone = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
+    # Columns go by their table, so that no name of the documents can clash.
+    same = docs[id_col].cast("bigint").eqNullSafe(gone["__id"]) & (text_key(docs[text_col]) == gone["__key"])
     return docs.join(gone, same, "left_anti")
 
 
@@ -40,3 +41,14 @@ def slots_bitmap(rows: DataFrame, hash_: Column) -> np.ndarray:
     at = slots.column("slot").to_numpy()
     np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bitmap
+
+
+def least_step(rows: DataFrame, step: Column, most: int) -> int:
+    """Smallest whole-numbered step that at most ``most`` rows reach; a few hundred counts reach the driver."""
+    counts = rows.groupBy(step.cast("int").alias("step")).agg(F.count("*").alias("n")).collect()
+    least, total = (1 << 31) - 1, 0
+    for at, n in sorted(((r["step"], r["n"]) for r in counts), reverse=True):
+        if total + n > most:
+            break
+        least, total = at, total + n
+    return least

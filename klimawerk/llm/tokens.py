@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from klimawerk.llm.storage import written
+from klimawerk.llm.storage import least_step, written
 
 HEAD = 1 << 17
 MEMO = 400_000
@@ -141,24 +141,13 @@ def distinct_pieces(docs: DataFrame, text_col: str, vocabulary: str) -> DataFram
     return written(distinct.mapInArrow(count, "pre_token string, times bigint, pieces int"), "pieces")
 
 
-def _least_step(pieces: DataFrame, most: int) -> int:
-    """Smallest frequency, as a step of its logarithm, that at most ``most`` pre-tokens reach."""
-    steps = pieces.groupBy(F.floor(F.log2("times") * 8).cast("int").alias("step")).agg(F.count("*").alias("n")).collect()
-    least, total = None, 0
-    for step, n in sorted(((r["step"], r["n"]) for r in steps), reverse=True):
-        if total + n > most:
-            break
-        total, least = total + n, step
-    return (1 << 62) if least is None else least
-
-
 def token_counts(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, head: int = HEAD
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     pieces = distinct_pieces(docs, text_col, vocabulary)
-    least = _least_step(pieces, head)
-    frequent = F.floor(F.log2("times") * 8) >= least
+    step = F.floor(F.log2("times") * 8)
+    frequent = step >= least_step(pieces, step, head)
     rows = pieces.where(frequent).select("pre_token", "pieces").toArrow()  # at most ``head`` rows
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
     cut_by = _cut_by(_vocabulary(vocabulary))

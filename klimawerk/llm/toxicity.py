@@ -24,9 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from klimawerk.llm.storage import least_step, written
 from klimawerk.llm.text import NOT_ALNUM, chunks, prefix_hashes, word_hashes, words
 
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 12_000
 MAX_WORDS = 1 << 16
 MIN_DOCS = 5
 LEAST_Z = 3.0
@@ -137,55 +138,62 @@ def fit(
     # About sample_docs rows of two numbers each, whatever the size of the tables.
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     labelled = texts.join(F.broadcast(sample), "__id").select("__label", "__text")
+    total, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0))).first()
+    if not 0 < toxic < total:
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, toxic / total if total else 0.0)
+    vocabulary = _telling_words(labelled, toxic / total, max_words, min_docs)
 
     def parse(batches):
         for batch in batches:
             for begin, part in chunks(batch.column(1)):
-                w, sentence, starts, hashes, owner = _split(part)
-                # Sorted by text, sentence and feature; each feature of a sentence once.
-                order = np.lexsort((hashes, sentence[owner]))
-                hashes, own = hashes[order], sentence[owner[order]]
-                fresh = np.ones(len(hashes), dtype=bool)
-                fresh[1:] = (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])
-                hashes, own = hashes[fresh], own[fresh]
-                limits = np.searchsorted(w.text[starts][own], np.arange(len(part) + 1)).astype(np.int32)
+                s = _sentences(part, vocabulary)
+                count = np.bincount(s.text, minlength=len(part))
+                owner = s.text[s.sentence]
+                limits = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
+                local = s.sentence - (np.cumsum(count) - count)[owner]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(begin, len(part)),
-                        pa.ListArray.from_arrays(limits, hashes.view(np.int64)),
-                        pa.ListArray.from_arrays(limits, own.astype(np.int32)),
+                        batch.column(0).slice(begin, len(part)), pa.array(count.astype(np.int32)),
+                        pa.ListArray.from_arrays(limits, local.astype(np.int32)),
+                        pa.ListArray.from_arrays(limits, s.word.astype(np.int32)),
                     ],
-                    ["label", "word", "sentence"],
+                    ["label", "sentences", "sentence", "word"],
                 )
 
-    rows = labelled.mapInArrow(parse, "label int, word array<bigint>, sentence array<int>").toArrow().combine_chunks()
-    return _fit_rows(rows, max_words, min_docs)
-
-
-def _fit_rows(rows: pa.Table, max_words: int, min_docs: int) -> Model:
-    label = rows.column("label").to_numpy()
-    lists = [rows.column(c).combine_chunks() for c in ("word", "sentence")]
-    if not 0 < label.sum() < len(label):
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, float(label.mean()) if len(label) else 0.0)
-    hashes = lists[0].flatten().to_numpy().view(np.uint64)
-    doc_of = np.repeat(np.arange(len(label)), np.asarray(lists[0].value_lengths()))
-    local = lists[1].flatten().to_numpy().astype(np.int64)
-    distinct, place = np.unique(hashes, return_inverse=True)
-    pair = np.unique(place.astype(np.int64) * len(label) + doc_of)
-    in_docs = np.bincount(pair // len(label), minlength=len(distinct))
-    in_toxic = np.bincount(pair // len(label), label[pair % len(label)], minlength=len(distinct))
-    share = label.mean()
-    z = np.abs(in_toxic - in_docs * share) / np.sqrt(in_docs * share * (1 - share))
-    chosen = np.flatnonzero((in_docs >= min_docs) & (z >= LEAST_Z))
-    chosen = np.sort(chosen[np.lexsort((distinct[chosen], -z[chosen]))][:max_words])
-    number = np.full(len(distinct), -1)
-    number[chosen] = np.arange(len(chosen))
-    _, sentence = np.unique(doc_of * (int(local.max(initial=0)) + 1) + local, return_inverse=True)
-    doc = np.zeros(int(sentence.max(initial=-1)) + 1, dtype=np.int64)
-    doc[sentence] = doc_of
-    word = number[place]
-    weight, bias = fit_arrays(label, doc, sentence[word >= 0], word[word >= 0], len(chosen))
-    return Model(distinct[chosen], weight, bias, None)
+    # Of the sample, labels and the few telling words of each sentence reach the driver.
+    rows = labelled.mapInArrow(parse, "label int, sentences int, sentence array<int>, word array<int>").toArrow().combine_chunks()
+    count = rows.column("sentences").to_numpy().astype(np.int64)
+    lists = [rows.column(c).combine_chunks() for c in ("sentence", "word")]
+    first = np.cumsum(count) - count
+    sentence = lists[0].flatten().to_numpy() + np.repeat(first, np.asarray(lists[0].value_lengths()))
+    weight, bias = fit_arrays(
+        rows.column("label").to_numpy(), np.repeat(np.arange(len(count)), count), sentence, lists[1].flatten().to_numpy(), len(vocabulary)
+    )
+    return Model(vocabulary, weight, bias, None)
+
+
+def _telling_words(labelled: DataFrame, share: float, most: int, min_docs: int) -> np.ndarray:
+    """Sorted hashes of the features that go with the label most, ``most`` at most."""
+    def features(batches):
+        for batch in batches:
+            for begin, part in chunks(batch.column(1)):
+                w, _, _, hashes, owner = _split(part)
+                text = w.text[owner]
+                order = np.lexsort((hashes, text))
+                hashes, text = hashes[order], text[order]
+                fresh = np.ones(len(hashes), dtype=bool)
+                fresh[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+                label = batch.column(0).slice(begin, len(part)).take(pa.array(text[fresh]))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[fresh].view(np.int64)), label], ["word", "label"])
+
+    counted = labelled.mapInArrow(features, "word bigint, label int").groupBy("word").agg(
+        F.count("*").alias("n"), F.sum("label").alias("toxic")
+    )
+    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    telling = written(counted.where(F.col("n") >= min_docs).select("word", z.alias("z")).where(F.col("z") >= LEAST_Z), "telling-words")
+    step = F.floor(F.col("z") * 16)
+    words_ = telling.where(step >= least_step(telling, step, most)).select("word").toArrow()
+    return np.sort(words_.column("word").to_numpy().view(np.uint64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
