@@ -175,8 +175,10 @@ def repeated_spans(
     head = min_words - window + 1
     reach = window
     selected = written(_selected(docs, id_col, text_col, head, window), "suffixes")
-    # Only heads that occur twice; counts are combined before the exchange.
-    repeated = selected.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
+    # Only heads that occur twice; counts are combined before the exchange. Written, so that both sides of the join are
+    # shuffled for it and Spark may split the partition of a very common head.
+    repeated = selected.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    repeated = written(repeated.drop("n"), "common-heads")
     places = written(selected.join(repeated, "head").select("head", "doc_id", "text_key", "at", "first_id"), "repeated-heads")
     contexts = _with_contexts(docs, places, id_col, text_col, head, reach)
     contexts = written(contexts, "contexts")
