@@ -85,10 +85,10 @@ def repeated_units(
     found = _units(docs, id_col, text_col, line_words, sentence_words)
     rank = F.coalesce("doc_id", F.lit(LAST_RANK))
     # Minima and counts are combined before the exchange, whatever the number of occurrences.
-    repeated = (
-        found.groupBy("digest").agg(F.min(rank).alias("keep_rank"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = written(
+        found.groupBy("digest").agg(F.min(rank).alias("keep_rank"), F.count("*").alias("n")).where("n > 1").drop("n"), "common-units"
     )
-    # Both sides of this join are shuffled, so Spark may split the partition of a very common unit.
+    # Both sides of this join are shuffled for it, so Spark may split the partition of a very common unit.
     removed = written(
         found.join(repeated, "digest").where(F.col("again") | (rank != F.col("keep_rank"))).select(
             "doc_id", "text_key", "start", "end", "line",
