@@ -244,12 +244,19 @@ def convert(spark: SparkSession, arc_path: str) -> str:
     """Convert all ARC archives of a folder to WARC archives; their folder."""
     found = written(arc_records(spark, arc_path), "arc-records")
     rank = F.coalesce("page_id", F.lit(NO_ID))
-    least = found.groupBy("digest").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, as the responses below, so that both sides of each join are shuffled for it and Spark may split the partition
+    # of a very common payload.
+    least = written(
+        found.groupBy("digest").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "common-payloads"
+    )
     several = found.join(least, "digest").withColumn("rank", rank)
     # The response is the record of smallest id; its id and URL are looked up among records of that rank only.
     place = F.min(F.struct("archive", "number", "url", "page_id")).alias("r")
-    responses = several.where("rank = least and page_id is not null").groupBy("digest").agg(place).unionByName(
-        several.where("least = %d" % NO_ID).groupBy("digest").agg(place)
+    responses = written(
+        several.where("rank = least and page_id is not null").groupBy("digest").agg(place).unionByName(
+            several.where(f"least = {NO_ID}").groupBy("digest").agg(place)
+        ),
+        "responses",
     )
     revisits = several.where(f"rank != least or (least = {NO_ID})").join(responses, "digest").where(
         "not (archive = r.archive and number = r.number)"
