@@ -35,6 +35,8 @@ def _oriented(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    # Written, so that both sides of the join are shuffled for it and Spark may split the partition of a hub.
+    lowest = written(lowest, "lowest")
     # A larger neighbour of n is the first node of an oriented link whose second is n.
     return _oriented(edges.join(lowest, edges.b == lowest.n).select("a", F.col("m").alias("b")))
 

@@ -197,9 +197,11 @@ def links(distinct: DataFrame, budget: int = 4) -> DataFrame:
                 )
 
     filed = written(distinct.select("fp").mapInArrow(file, "key bigint, leaf bigint, fp bigint"), "tries")
-    crowded = (
+    # Written, so that both sides of the join are shuffled for it and Spark may split a crowded node's partition.
+    crowded = written(
         filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
-        .select("key", F.ceil(F.col("n") / CROWDED).cast("int").alias("parts"))
+        .select("key", F.ceil(F.col("n") / CROWDED).cast("int").alias("parts")),
+        "crowded-nodes",
     )
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.expr("filter(sequence(0, parts - 1), p -> p != part)"))
