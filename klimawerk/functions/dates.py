@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from klimawerk.schema import MONTHS
+from klimawerk.schema import MONTHS, MONTHS_SHORT
 
 
 def parse_day(compact: Column) -> Column:
@@ -51,6 +51,8 @@ def in_period(year: Column, period: str | tuple[int, int]) -> Column:
 
 
 def local_time_text(epoch_seconds: Column, zone: str = "Europe/Berlin") -> Column:
-    """Epoch seconds to local wall-clock text, independent of the session time zone."""
+    """Epoch seconds to local wall-clock text with a German month, independent of the session's time zone and locale."""
     utc = F.timestamp_add("SECOND", epoch_seconds, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "dd. MMM. yyyy HH:mm")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    month = F.get(F.array(*[F.lit(m) for m in MONTHS_SHORT]), F.month(local) - 1)
+    return F.concat(F.date_format(local, "dd. "), month, F.date_format(local, ". yyyy HH:mm"))

@@ -38,11 +38,15 @@ def sentinels(value: str) -> str:
 
 
 def nearest(value: str, digits: int = 1) -> Column:
-    """Rounded for display: the decimal neighbour nearer to the binary value, the even one at equal distance."""
+    """Rounded for display: the decimal neighbour nearer to the binary value, the even one at equal distance.
+
+    From 2^53 steps on a double has no digits left to round, and ``floor`` would leave the range of a long.
+    """
     scale = f"1e{digits}D"
     below, above = f"floor(({value}) * {scale})", f"ceil(({value}) * {scale})"
     down, up = f"(({value}) - {below} / {scale})", f"({above} / {scale} - ({value}))"
-    return F.expr(f"if({down} < {up} or ({down} = {up} and {below} % 2 = 0), {below} / {scale}, {above} / {scale})")
+    rounded = f"if({down} < {up} or ({down} = {up} and {below} % 2 = 0), {below} / {scale}, {above} / {scale})"
+    return F.expr(f"if(abs({value}) * {scale} >= {2.0**53!r}D, cast({value} as double), {rounded})")
 
 
 def threshold_flags() -> dict[str, Column]:

@@ -1,15 +1,15 @@
 """From raw daily rows to the cleaned table: complete years, gap filling, threshold flags.
 
 Two ways to the same rules. The reports (complete years, missing counts, day-of-year means) are hash aggregates with
-map-side combine. ``clean`` needs the statistics beside every row and takes them as windows: one pass with two
-exchanges, by station-year and by calendar day of a station, where joining three aggregates back would read the input
-four times. Both window keys are bounded by the key of the daily table: at most 366 rows in a station-year and one
-row per recorded year on a calendar day, also for a station that holds a large share of all rows.
+map-side combine. ``clean`` needs the statistics beside every row and takes them as windows: one pass with one exchange,
+by station, that serves the windows by station-year and by calendar day, where joining three aggregates back would read the
+input four times. The key of the daily table bounds what meets in a task: a station has one row per day of its record. The
+same pass checks the key, so rows that break the bound fail instead of doubling sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import month_label, parse_day, year_free_date
@@ -56,19 +56,28 @@ def day_of_year_means(days: DataFrame) -> DataFrame:
     return days.groupBy(*CALENDAR_DAY).agg(*[mean(measured(c)).alias(f"{c}_mean") for c in MEASURES])
 
 
+def single_day() -> Column:
+    """The date, or a failure where a station has two rows of one day."""
+    before = F.lag("Date").over(Window.partitionBy(*STATION_YEAR).orderBy("Date"))
+    message = F.concat(F.lit("two rows of station "), F.col("station_id"), F.lit(" on "), F.col("Date").cast("string"))
+    return F.when(before == F.col("Date"), F.raise_error(message).cast("date")).otherwise(F.col("Date"))
+
+
 def fill_gaps(days: DataFrame) -> DataFrame:
     """Complete years only; sentinels replaced.
 
     A measurement with 60 or more sentinels in a year is NULL for that whole year. Other sentinels become the mean of
     the valid values of that calendar day over all complete years, also of those that are set to NULL. NULL stays.
+    Two rows of one station and day are an error.
     """
     year = f"over (partition by {', '.join(STATION_YEAR)})"
     calendar_day = f"over (partition by {', '.join(CALENDAR_DAY)})"
-    # Both exchanges are stated, because the planner would place them after the inputs of the window functions, which
-    # double the width of a row.
+    # The exchange is stated, because the planner would place one for each window, after the inputs of the window functions,
+    # which double the width of a row.
     counted = (
         days.filter(F.col("Date").isNotNull())
-        .repartition(*STATION_YEAR)
+        .repartition("station_id")
+        .withColumn("Date", single_day())
         .withColumns({
             "n_months": F.expr(f"bit_count({MONTH_SET} {year})"),
             **{f"{c}_unusable": F.expr(f"{sentinels(c)} {year} >= {MAX_MISSING}") for c in MEASURES},
@@ -76,7 +85,7 @@ def fill_gaps(days: DataFrame) -> DataFrame:
         .filter(F.col("n_months") >= MIN_MONTHS)
         .drop("n_months")
     )
-    filled = counted.repartition(*CALENDAR_DAY).withColumns({
+    filled = counted.withColumns({
         c: F.expr(
             f"case when {c}_unusable then null "
             f"when {c} = {SENTINEL}D then {settled(f'avg({measured(c)}) {calendar_day}')} else cast({c} as double) end"

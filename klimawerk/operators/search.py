@@ -8,21 +8,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+
+def _not(met: Column) -> Column:
+    """A missing value does not meet the plain condition, so it meets the negated one."""
+    return ~F.coalesce(met, F.lit(False))
+
+
 _CONDITIONS = {
     "=": lambda c, v: c == v[0],
-    "!=": lambda c, v: c != v[0],
+    "!=": lambda c, v: _not(c == v[0]),
     "<": lambda c, v: c < v[0],
     "<=": lambda c, v: c <= v[0],
     ">": lambda c, v: c > v[0],
     ">=": lambda c, v: c >= v[0],
     "between": lambda c, v: c.between(v[0], v[1]),
-    "!between": lambda c, v: ~c.between(v[0], v[1]),
+    "!between": lambda c, v: _not(c.between(v[0], v[1])),
     "starts": lambda c, v: F.lower(c.cast("string")).startswith(v[0].lower()),
-    "!starts": lambda c, v: ~F.lower(c.cast("string")).startswith(v[0].lower()),
+    "!starts": lambda c, v: _not(F.lower(c.cast("string")).startswith(v[0].lower())),
     "ends": lambda c, v: F.lower(c.cast("string")).endswith(v[0].lower()),
-    "!ends": lambda c, v: ~F.lower(c.cast("string")).endswith(v[0].lower()),
+    "!ends": lambda c, v: _not(F.lower(c.cast("string")).endswith(v[0].lower())),
     "contains": lambda c, v: F.lower(c.cast("string")).contains(v[0].lower()),
-    "!contains": lambda c, v: ~F.lower(c.cast("string")).contains(v[0].lower()),
+    "!contains": lambda c, v: _not(F.lower(c.cast("string")).contains(v[0].lower())),
     "null": lambda c, v: c.isNull(),
     "!null": lambda c, v: c.isNotNull(),
 }
@@ -31,8 +38,8 @@ _CONDITIONS = {
 def condition(tree: dict) -> Column:
     """Nested ``{"logic": "AND" | "OR", "criteria": [...]}`` with leaves ``{"column", "condition", "value"}``.
 
-    The result is one ordinary predicate that Catalyst can push into the scan. A missing value meets no condition but
-    ``null``.
+    The result is one ordinary predicate that Catalyst can push into the scan. A missing value meets ``null`` and the negated
+    conditions, as an empty cell does, and no other.
     """
     if "criteria" not in tree:
         return _CONDITIONS[tree["condition"]](F.col(f"`{tree['column']}`"), tree.get("value", []))

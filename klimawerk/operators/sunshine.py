@@ -25,13 +25,16 @@ def day_lengths(stations: DataFrame, year: int, month: int | None = None) -> Dat
     return series if month is None else series.filter(F.col("Monat") == month)
 
 
-def sunshine_overlay(days: DataFrame, stations: DataFrame, year: int, month: int | None = None) -> DataFrame:
-    """Possible sunshine of each day with the measured one beside it, for stations with measurements in the slice."""
+def sunshine_overlay(days: DataFrame, stations: DataFrame | None, year: int, month: int | None = None) -> DataFrame:
+    """Possible sunshine of each day with the measured one beside it, for stations with measurements in the slice.
+
+    Without a station dimension all stations get the default position; a station that the dimension lacks gets NULL.
+    """
     measured = days.filter(F.col("SDK").isNotNull())
-    located = (
-        measured.select("station_id").distinct()
-        .join(stations.select(F.col("number").alias("station_id"), "lat"), "station_id", "left")
-        .withColumn("lat", F.coalesce("lat", F.lit(DEFAULT_LAT)))
-    )
+    located = measured.select("station_id").distinct()
+    if stations is None:
+        located = located.withColumn("lat", F.lit(DEFAULT_LAT))
+    else:
+        located = located.join(stations.select(F.col("number").alias("station_id"), "lat"), "station_id", "left")
     series = day_lengths(located, year, month).select("station_id", "date", "sunshine_duration")
     return series.join(measured.select("station_id", F.col("Date").alias("date"), "SDK"), ["station_id", "date"], "left")

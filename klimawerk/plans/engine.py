@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from klimawerk.operators import deviation, normals, running, slices, sunshine, tables
+from klimawerk.operators import deviation, normals, running, search, slices, sunshine, tables
 from klimawerk.operators.cleaning import clean
 from klimawerk.operators.reshape import temperatures_long
 from klimawerk.operators.yearly import yearly
@@ -17,6 +17,7 @@ from klimawerk.schema import DEFAULT_STATION, PERIODS
 from klimawerk.sources.geojson import read_feature_collections, station_points
 from klimawerk.sources.materialised import read_clean, write_clean
 from klimawerk.sources.station_files import read_station_files
+from klimawerk.streaming import live
 
 MONTH, YEAR, RECORD = "einMonat", "alleMonate", "all"
 
@@ -28,15 +29,26 @@ class ClimateEngine:
 
     @classmethod
     def from_station_files(
-        cls, spark: SparkSession, paths: str | list[str], stations_path: str | None = None, store: str | None = None
+        cls, spark: SparkSession, paths: str | list[str], stations_path: str | None = None, store: str | None = None,
+        replace: bool = False, overlapping: bool = False, multiline: bool = True,
     ) -> ClimateEngine:
-        """Read and clean station files. With ``store`` the cleaned table is written there and read back."""
-        days = clean(read_station_files(spark, paths))
+        """Read and clean station files. With ``store`` the cleaned table is written there and read back.
+
+        A table that exists there is an error unless ``replace`` is set; ``open`` reads it. ``overlapping`` keeps days that
+        several files repeat once; ``multiline=False`` reads stations with one GeoJSON document per line.
+        """
+        days = clean(read_station_files(spark, paths, overlapping))
         if store is not None:
-            write_clean(days, store)
+            write_clean(days, store, replace)
             days = read_clean(spark, store)
-        stations = station_points(read_feature_collections(spark, stations_path)) if stations_path else None
-        return cls(days, stations)
+        return cls(days, _points(spark, stations_path, multiline))
+
+    @classmethod
+    def open(
+        cls, spark: SparkSession, store: str, stations_path: str | None = None, multiline: bool = True
+    ) -> ClimateEngine:
+        """Read a cleaned table that was written before; nothing is cleaned again."""
+        return cls(read_clean(spark, store), _points(spark, stations_path, multiline))
 
     def for_station(self, station_id: str = DEFAULT_STATION) -> ClimateEngine:
         """The same engine restricted to one station."""
@@ -107,7 +119,9 @@ class ClimateEngine:
         return running.sunshine_course(self.slice(mode, year, month))
 
     def possible_sunshine(self, mode: str, year: int, month: int | None = None) -> DataFrame:
-        """Measured beside possible sunshine; needs the station dimension."""
+        """Measured beside possible sunshine of a month or year; the default position without a station dimension."""
+        if mode == RECORD:
+            raise ValueError("possible sunshine is per day; choose a month or a year")
         return sunshine.sunshine_overlay(
             self.slice(mode, year, month), self.stations, year, month if mode == MONTH else None
         )
@@ -144,6 +158,29 @@ class ClimateEngine:
     def table(self, kind: str = "daily", month: int | None = None) -> DataFrame:
         return tables.averaged_table(self.days, month) if kind == "averaged" else tables.daily_table(self.days)
 
+    def search(self, tree: dict, kind: str = "daily", month: int | None = None) -> DataFrame:
+        """Rows of a table that meet a tree of conditions."""
+        return search.search_builder(self.table(kind, month), tree)
+
+    def text_search(self, text: str, kind: str = "daily", month: int | None = None) -> DataFrame:
+        """Rows of a table that contain every word of the text."""
+        return search.text_search(self.table(kind, month), text)
+
+    def top_k(self, column: str, k: int = 10, kind: str = "daily", month: int | None = None) -> DataFrame:
+        """The ``k`` rows of each station with the largest values; equal ones by date or year."""
+        table = self.table(kind, month)
+        order = [F.desc_nulls_last(f"`{column}`"), F.asc(f"`{table.columns[1]}`")]
+        return search.top_k(table, order, k)
+
+    @staticmethod
+    def latest(landed: DataFrame) -> DataFrame:
+        """Newest live observation of each station among landed payloads."""
+        return live.latest(live.normalise(landed))
+
+
+def _points(spark: SparkSession, path: str | None, multiline: bool) -> DataFrame | None:
+    return station_points(read_feature_collections(spark, path, multiline)) if path else None
+
 
 def _check(mode: str, year: int | None, month: int | None) -> None:
     if mode not in (MONTH, YEAR, RECORD):

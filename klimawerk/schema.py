@@ -1,7 +1,8 @@
 """Column names, fixed values and file schemas shared by all modules.
 
-The daily table is keyed by ``(station_id, Date)``: one row per station and calendar day. A station-year therefore
-holds at most 366 rows and a calendar day of a station one row per recorded year, whatever the size of the table.
+The daily table is keyed by ``(station_id, Date)``: one row per station and calendar day; cleaning fails on a second row of
+a day. A station-year therefore holds at most 366 rows, a calendar day of a station one row per recorded year and a station
+as many rows as its record has days, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ MONTHS = [
     "Juli", "August", "September", "Oktober", "November", "Dezember",
 ]
 
+MONTHS_SHORT = ["Jan", "Feb", "Mär", "Apr", "Mai", "Jun", "Jul", "Aug", "Sep", "Okt", "Nov", "Dez"]
+
 PERIODS = ["1991-2020", "1981-2010", "1971-2000", "1961-1990"]
 
 # flag column, measurement, comparison, threshold

@@ -27,7 +27,9 @@ def parse_feature_collections(documents: DataFrame, column: str = "document") ->
 
 
 def _features(collections: DataFrame) -> DataFrame:
-    return collections.select(F.explode("features").alias("f")).select(
+    # An outer explode followed by a filter: a plain one makes Spark test the array before, which parses each document twice.
+    features = collections.select(F.explode_outer("features").alias("f")).filter(F.col("f").isNotNull())
+    return features.select(
         "f.properties.*", F.col("f.geometry.type").alias("geometry"), F.col("f.geometry.coordinates").alias("coordinates")
     )
 
@@ -47,4 +49,4 @@ def outline_rings(collections: DataFrame) -> DataFrame:
     polygon = F.from_json("coordinates", "array<array<array<double>>>")
     multipolygon = F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
     rings = F.when(F.col("geometry") == "Polygon", polygon).when(F.col("geometry") == "MultiPolygon", multipolygon)
-    return _features(collections).select("name", F.explode(rings).alias("ring"))
+    return _features(collections).select("name", F.explode_outer(rings).alias("ring")).filter(F.col("ring").isNotNull())

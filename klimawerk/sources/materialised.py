@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+STATION_GROUPS = 64
 
-def write_clean(clean: DataFrame, path: str) -> None:
-    """Parquet with one folder per year, sorted by station and day.
 
-    Years are few and most queries ask for one year or a reference period, so folders prune whole files; the sort lets
-    row-group and page bounds skip other stations. The rebalance splits large years and merges small ones by size.
+def write_clean(clean: DataFrame, path: str, replace: bool = False) -> None:
+    """Parquet with one folder per year, each file holding some groups of stations, sorted by station and day.
+
+    Years are few and most queries ask for one year or a reference period, so folders prune whole files. A large year is dealt
+    to files by groups of stations, so a station is in few of its files, and the sort lets row-group bounds skip the others.
+    The rebalance merges small groups and splits large ones by size. A table that exists is an error, unless ``replace`` asks
+    for a new one in its place.
     """
+    group = F.pmod(F.xxhash64("station_id"), F.lit(STATION_GROUPS))
     (
-        clean.hint("rebalance", "Jahr")
+        clean.withColumn("__group", group)
+        .hint("rebalance", "Jahr", "__group")
+        .drop("__group")
         .sortWithinPartitions("Jahr", "station_id", "Date")
-        .write.mode("overwrite")
+        .write.mode("overwrite" if replace else "errorifexists")
         .partitionBy("Jahr")
         .parquet(path)
     )

@@ -13,21 +13,23 @@ from klimawerk.schema import STATION_FILE
 
 
 def station_id_of(path: Column) -> Column:
-    """Station number in the last four or five digits before ``.txt``, as text of at least four digits; NULL without one.
+    """Station number: all digits before ``.txt``, at least four, as text of at least four digits; NULL without one.
 
     ``<name>.txt`` may be a file or, when Spark wrote it, a folder of part files.
     """
-    digits = F.regexp_extract(path, r"(\d{4,5})\.txt(?:/[^/]*)?$", 1)
-    return F.when(digits != "", F.format_string("%04d", digits.try_cast("int")))
+    digits = F.regexp_extract(path, r"(?<!\d)(\d{4,})\.txt(?:/[^/]*)?$", 1)
+    return F.when(digits != "", F.format_string("%04d", digits.try_cast("bigint")))
 
 
-def read_station_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_station_files(spark: SparkSession, paths: str | list[str], overlapping: bool = False) -> DataFrame:
     """All matched station files as one DataFrame; a new station only needs a new file.
 
     The station number comes from the file name, or from the rows where the name has none.
     Names and order of the header are checked against the schema, so a file of another layout fails loudly.
+    With ``overlapping``, days that several files of a station repeat with equal values are kept once; days with different
+    values stay, and cleaning fails on them.
     """
-    return (
+    days = (
         spark.read.schema(STATION_FILE)
         .option("sep", ";")
         .option("header", True)
@@ -40,6 +42,7 @@ def read_station_files(spark: SparkSession, paths: str | list[str]) -> DataFrame
         ))
         .drop("eor")
     )
+    return days.distinct() if overlapping else days
 
 
 def write_station_files(raw: DataFrame, folder: str) -> None:
@@ -78,6 +81,21 @@ def station_counts(daily: DataFrame) -> DataFrame:
     return daily.groupBy("station_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def loaded_counts(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows per station that cleaning keeps, beside the rows of its files; a station without a complete year has 0."""
+    files = station_counts(raw).withColumnRenamed("n_rows", "n_file_rows")
+    return files.join(station_counts(kept), "station_id", "left").select(
+        "station_id", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), "n_file_rows"
+    )
+
+
+def loaded_total(kept: DataFrame) -> DataFrame:
+    """One row: stations that are loaded, and their rows."""
+    return station_counts(kept).agg(
+        F.count(F.lit(1)).alias("n_stations"), F.coalesce(F.sum("n_rows"), F.lit(0).cast("bigint")).alias("n_rows")
+    )
+
+
 def union_stations(frames: Iterable[DataFrame]) -> DataFrame:
     """Frames of different stations or years as one, matched by column name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

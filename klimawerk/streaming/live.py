@@ -5,7 +5,8 @@ Landed rows are ``station_id string, payload string``, one JSON payload each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,13 +36,19 @@ def normalise(landed: DataFrame) -> DataFrame:
 
 
 def latest(observations: DataFrame) -> DataFrame:
-    """Newest observation per station; equal times are settled by the remaining values, so the result is repeatable."""
-    values = [c for c in observations.columns if c not in ("station_id", "dt")]
-    return (
-        observations.groupBy("station_id")
-        .agg(F.max(F.struct("dt", *values)).alias("newest"))
-        .select("station_id", "newest.*")
-    )
+    """Newest observation per station; equal times are settled by the remaining values, so the result is repeatable.
+
+    The newest time per station is a hash aggregate; only rows of that time are ranked. A null time comes before all others.
+    """
+    newest = observations.groupBy("station_id").agg(F.max("dt").alias("newest")).withColumnRenamed("station_id", "station")
+    same = observations["station_id"].eqNullSafe(newest["station"]) & observations["dt"].eqNullSafe(newest["newest"])
+    rank = F.row_number().over(Window.partitionBy("station_id").orderBy(*[F.desc(c) for c in _values(observations)]))
+    last = observations.join(newest, same, "left_semi").withColumn("rank", rank)
+    return last.filter(F.col("rank") == 1).select("station_id", "dt", *_values(observations))
+
+
+def _values(observations: DataFrame) -> list[str]:
+    return [c for c in observations.columns if c not in ("station_id", "dt")]
 
 
 def wind_rose(observations: DataFrame) -> DataFrame:
@@ -78,17 +85,29 @@ def write_normalised(stream: DataFrame, table: str, checkpoint: str) -> Streamin
     )
 
 
-def write_latest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest observation per station as a table with one version per batch.
+def write_latest(stream: DataFrame, table: str, checkpoint: str, compact_every: int = 10) -> StreamingQuery:
+    """Keep the newest observation per station as a table of changes and a base.
 
-    State holds one row per station. A repeated batch overwrites its own version.
+    A batch writes only the stations that it changes, and a repeated batch overwrites its own rows. Every ``compact_every``
+    batches the rows so far become a new base, and the changes and bases before it are emptied; the one base before is kept
+    for readers that have begun. State holds one row per station.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{table}/changes/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            read_latest(spark, table).write.mode("overwrite").parquet(f"{table}/base/batch_id={batch_id}")
+            gone = [f"changes/batch_id={i}" for i in range(batch_id + 1 - compact_every, batch_id + 1)]
+            if batch_id >= 2 * compact_every:
+                gone.append(f"base/batch_id={batch_id - 2 * compact_every}")
+            for folder in gone:
+                batch.limit(0).write.mode("overwrite").parquet(f"{table}/{folder}")
+
+    observations = normalise(stream)
+    newest = observations.groupBy("station_id").agg(F.max(F.struct("dt", *_values(observations))).alias("newest"))
     return (
-        latest(normalise(stream))
-        .writeStream.outputMode("complete")
+        newest.select("station_id", "newest.*")
+        .writeStream.outputMode("update")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -97,7 +116,16 @@ def write_latest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQue
 
 
 def read_latest(spark: SparkSession, table: str) -> DataFrame:
-    """The version of the last batch."""
-    versions = spark.read.parquet(table)
-    last = versions.agg(F.max("batch_id").alias("batch_id"))
-    return versions.join(last, "batch_id", "left_semi").drop("batch_id")
+    """Newest observation per station in base and changes; no rows before the first batch."""
+    empty = normalise(spark.createDataFrame([], LANDED))
+    parts = [empty]
+    for part in ("base", "changes"):
+        try:
+            parts.append(spark.read.schema(empty.schema).parquet(f"{table}/{part}").select(*empty.columns))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return latest(rows)

@@ -39,7 +39,7 @@ SEARCH_TREE = {
         },
     ],
 }
-SEARCH_TEXT = "-07-1 12.5"
+SEARCH_TEXT = "-07-1 0.0"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,25 +61,26 @@ def query(fn: Query) -> Query:
 # Sources and sinks
 
 
-def _station_files(spark, sf_dir):
-    folder = fresh_folder(spark, "station-files")
-    station_files.write_station_files(inputs.daily(spark, sf_dir), folder)
-    return station_files.read_station_files(spark, f"{folder}/*")
-
-
 @query
 def src_dwd_csv(spark, sf_dir):
-    return _station_files(spark, sf_dir).select("station_id", "MESS_DATUM", *MEASURES)
+    return inputs.station_files(spark, sf_dir).select("station_id", "MESS_DATUM", *MEASURES)
 
 
 @query
 def src_station_counts(spark, sf_dir):
-    return station_files.station_counts(_station_files(spark, sf_dir))
+    raw = inputs.station_files(spark, sf_dir)
+    return station_files.loaded_counts(raw, cleaning.keep_complete_years(cleaning.add_date_parts(raw)))
+
+
+@query
+def src_loaded_total(spark, sf_dir):
+    raw = inputs.station_files(spark, sf_dir)
+    return station_files.loaded_total(cleaning.keep_complete_years(cleaning.add_date_parts(raw)))
 
 
 @query
 def src_station_id(spark, sf_dir):
-    return _station_files(spark, sf_dir).groupBy("station_id", "STATIONS_ID").agg(F.count(F.lit(1)).alias("n_rows"))
+    return inputs.station_files(spark, sf_dir).groupBy("station_id", "STATIONS_ID").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
@@ -99,9 +100,9 @@ def snk_roundtrip(spark, sf_dir):
 
 @query
 def set_union_stations(spark, sf_dir):
-    daily = cleaning.add_date_parts(inputs.daily(spark, sf_dir))
-    parts = [daily.filter(F.col("Jahr") < 1998), daily.filter(F.col("Jahr") >= 1998)]
-    return station_files.union_stations(parts).select("station_id", "Date", *MEASURES)
+    # Two reads of different station files, by the last digit of their names.
+    parts = [inputs.station_files(spark, sf_dir, f"*[{digits}].txt") for digits in ("02468", "13579")]
+    return cleaning.add_date_parts(station_files.union_stations(parts)).select("station_id", "Date", *MEASURES)
 
 
 # Cleaning and projections
@@ -304,6 +305,11 @@ def dev_sun_month(spark, sf_dir):
     return deviation.deviations(inputs.cleaned(spark, sf_dir), YEAR, PERIOD, MONTH, deviation.SUNSHINE)
 
 
+@query
+def dev_all_year(spark, sf_dir):
+    return deviation.deviations(inputs.cleaned(spark, sf_dir), YEAR, PERIOD)
+
+
 # Totals
 
 
@@ -322,6 +328,25 @@ def tile_sun(spark, sf_dir):
     return slices.sun_totals(slices.select_days(inputs.cleaned(spark, sf_dir), year=YEAR))
 
 
+def _july(spark, sf_dir):
+    return slices.select_days(inputs.cleaned(spark, sf_dir), year=YEAR, month=MONTH)
+
+
+@query
+def tile_temp_month(spark, sf_dir):
+    return slices.temperature_totals(_july(spark, sf_dir))
+
+
+@query
+def tile_precip_month(spark, sf_dir):
+    return slices.precipitation_totals(_july(spark, sf_dir))
+
+
+@query
+def tile_sun_month(spark, sf_dir):
+    return slices.sun_totals(_july(spark, sf_dir))
+
+
 @query
 def tile_temp_all(spark, sf_dir):
     return slices.temperature_record(yearly(inputs.cleaned(spark, sf_dir)))
@@ -453,7 +478,9 @@ def sun_month(spark, sf_dir):
 @query
 def sun_overlay(spark, sf_dir):
     days = slices.select_days(inputs.cleaned(spark, sf_dir), year=YEAR)
-    return sunshine.sunshine_overlay(days, inputs.stations(spark, sf_dir), YEAR)
+    # Every fourth station is missing from the dimension.
+    located = inputs.stations(spark, sf_dir).filter(F.col("number").cast("bigint") % 4 != 1)
+    return sunshine.sunshine_overlay(days, located, YEAR)
 
 
 @query

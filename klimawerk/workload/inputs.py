@@ -1,13 +1,14 @@
 """Inputs of the registered queries, derived by Spark from the given tables.
 
 ``daily``: one weather station per eight suppliers, one row per station and order date, all values integer arithmetic
-over the line items of that cell. The number of stations grows with the supplier table up to the 9 999 that fit a
-four-digit station number; beyond that each cell aggregates more line items.
+over the line items of that cell. The number of stations grows with the supplier table; station numbers have four digits
+at least and more where they are needed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from klimawerk.operators.cleaning import clean
 from klimawerk.schema import CLEAN_DAYS, MAP_LAYERS, RAW_DAYS, SENTINEL
 from klimawerk.session import shared_folder
 from klimawerk.sources.materialised import read_clean, write_clean
+from klimawerk.sources.station_files import read_station_files, write_station_files
+
+_WRITTEN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +40,7 @@ def derive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     cell = (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy((F.expr("l_suppkey div 8") % 9999).alias("reg"), "d")
+        .groupBy(F.expr("l_suppkey div 8").alias("reg"), "d")
         .agg(*[F.sum(term).alias(name) for name, term in terms.items()])
     )
     t = cell.withColumns({"y": F.year("d"), "m": F.month("d")}).withColumn(
@@ -73,25 +77,27 @@ def derive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw daily table, written once per application to the shared folder."""
-    path = _prepared_path(spark, sf_dir, "daily")
-    if not _is_written(spark, path):
-        derive_daily(spark, sf_dir).write.mode("overwrite").parquet(path)
+    path = _prepared(spark, sf_dir, "daily", lambda p: derive_daily(spark, sf_dir).write.mode("overwrite").parquet(p))
     return spark.read.schema(RAW_DAYS).parquet(path)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned daily table, written once per application to the shared folder."""
-    path = _prepared_path(spark, sf_dir, "clean")
-    if not _is_written(spark, path):
-        write_clean(clean(daily(spark, sf_dir)), path)
+    path = _prepared(spark, sf_dir, "clean", lambda p: write_clean(clean(daily(spark, sf_dir)), p, replace=True))
     return read_clean(spark, path, CLEAN_DAYS)
 
 
+def station_files(spark: SparkSession, sf_dir: str, names: str = "*") -> DataFrame:
+    """The daily table as one station file per station, written once per application; those whose names match are read."""
+    path = _prepared(spark, sf_dir, "station-files", lambda p: write_station_files(daily(spark, sf_dir), p))
+    return read_station_files(spark, f"{path}/{names}")
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station dimension in the shape of the point source: one station per eight suppliers."""
     blocks = (
         table(spark, sf_dir, "supplier")
-        .groupBy((F.expr("s_suppkey div 8") % 9999).alias("reg"))
+        .groupBy(F.expr("s_suppkey div 8").alias("reg"))
         .agg(F.min("s_nationkey").alias("nation"))
     )
     number = F.format_string("%04d", F.col("reg") + 1)
@@ -161,7 +167,7 @@ def _documents(features: DataFrame) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    """One live payload per event, as a batch or as a stream over the files of the same table."""
+    """One live payload per event, as a batch or as a stream over the files of the same table; each user is a station."""
     events = table(spark, sf_dir, "events")
     if stream:
         # As a pattern, the name may be a single file as well as a folder of part files.
@@ -181,7 +187,7 @@ def payloads(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFram
         F.when(event_id % 3 != 0, rain).alias("rain"),
     )
     return events.select(
-        F.format_string("%04d", F.col("user_id") % 5 + 1).alias("station_id"),
+        F.format_string("%04d", F.col("user_id")).alias("station_id"),
         F.to_json(F.struct(F.array(observation).alias("list"))).alias("payload"),
     )
 
@@ -195,21 +201,11 @@ def layer_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _prepared_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Path that changes with the application and with the size or time of the source files."""
-    marks = [_mark(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders")]
-    key = hashlib.sha256("|".join([sf_dir, *marks]).encode()).hexdigest()[:16]
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{key}"
-
-
-def _mark(spark: SparkSession, path: str) -> str:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(location):
-        return f"{path}:missing"
-    return f"{path}:{fs.getContentSummary(location).getLength()}:{fs.getFileStatus(location).getModificationTime()}"
-
-
-def _is_written(spark: SparkSession, path: str) -> bool:
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+def _prepared(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a table that is derived once per application; the given tables do not change while it runs."""
+    key = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{key}"
+    if path not in _WRITTEN:
+        write(path)
+        _WRITTEN.add(path)
+    return path

@@ -38,7 +38,7 @@ def _list(items) -> str:
 
 RAW = """
 WITH cell AS (
-  SELECT l_suppkey // 8 % 9999 AS reg, CAST(o_orderdate AS DATE) AS d,
+  SELECT l_suppkey // 8 AS reg, CAST(o_orderdate AS DATE) AS d,
     sum(l_orderkey * 7 + l_partkey) AS a, sum(l_partkey) AS b, sum(l_suppkey * 3 + l_linenumber) AS s,
     sum(l_orderkey) AS k
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -227,16 +227,19 @@ lengths AS (
 
 STATIONS = """
 stations AS (
-  SELECT printf('Station %04d', CAST(s_suppkey // 8 % 9999 + 1 AS INT)) AS name, printf('%04d', CAST(s_suppkey // 8 % 9999 + 1 AS INT)) AS number,
-    CAST(s_suppkey // 8 % 9999 % 900 AS DOUBLE) AS height, 6.0::DOUBLE + min(s_nationkey) % 9 AS lon,
-    47.0::DOUBLE + (s_suppkey // 8 % 9999 % 80)::DOUBLE / 10 AS lat
-  FROM supplier GROUP BY s_suppkey // 8 % 9999)
+  SELECT printf('Station %04d', CAST(s_suppkey // 8 + 1 AS INT)) AS name, printf('%04d', CAST(s_suppkey // 8 + 1 AS INT)) AS number,
+    CAST(s_suppkey // 8 % 900 AS DOUBLE) AS height, 6.0::DOUBLE + min(s_nationkey) % 9 AS lon,
+    47.0::DOUBLE + (s_suppkey // 8 % 80)::DOUBLE / 10 AS lat
+  FROM supplier GROUP BY s_suppkey // 8)
 """
 
 LIVE = """
 WITH obs AS (
-  SELECT printf('%04d', CAST(user_id % 5 + 1 AS INT)) AS station_id, CAST(floor(epoch(ts)) AS BIGINT) AS dt,
-    strftime(timezone('Europe/Berlin', to_timestamp(floor(epoch(ts)))), '%d. %b. %Y %H:%M') AS local_time,
+  SELECT printf('%04d', user_id) AS station_id, CAST(floor(epoch(ts)) AS BIGINT) AS dt,
+    strftime(timezone('Europe/Berlin', to_timestamp(floor(epoch(ts)))), '%d. ')
+      || ['Jan', 'Feb', 'Mär', 'Apr', 'Mai', 'Jun', 'Jul', 'Aug', 'Sep', 'Okt', 'Nov', 'Dez'][
+        CAST(month(timezone('Europe/Berlin', to_timestamp(floor(epoch(ts))))) AS INT)]
+      || strftime(timezone('Europe/Berlin', to_timestamp(floor(epoch(ts)))), '. %Y %H:%M') AS local_time,
     event_type AS description, (event_id % 400)::DOUBLE / 10 + 253.15::DOUBLE - 273.15::DOUBLE AS temp,
     950 + event_id % 101 AS pressure, event_id % 101 AS humidity, (event_id % 200)::DOUBLE / 10 * 3.6::DOUBLE AS wind_kmh,
     event_id * 37 % 361 AS wind_deg, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE (event_id % 50)::DOUBLE / 10 END AS rain
@@ -271,7 +274,11 @@ _SQUARES = "WITH sq AS (SELECT (c_custkey % 1000)::DOUBLE AS x, (c_custkey // 10
 
 ORACLE: dict[str, str] = {
     "src_dwd_csv": RAW + f"SELECT station_id, MESS_DATUM, {_MEASURES_6} FROM raw",
-    "src_station_counts": RAW + "SELECT station_id, count(*) AS n_rows FROM raw GROUP BY 1",
+    "src_station_counts": CLEAN + """
+SELECT station_id, coalesce(n_rows, 0) AS n_rows, n_file_rows
+FROM (SELECT station_id, count(*) AS n_file_rows FROM raw GROUP BY 1)
+  LEFT JOIN (SELECT station_id, count(*) AS n_rows FROM clean GROUP BY 1) USING (station_id)""",
+    "src_loaded_total": CLEAN + "SELECT count(DISTINCT station_id) AS n_stations, count(*) AS n_rows FROM clean",
     "src_station_id": RAW + "SELECT station_id, CAST(station_id AS INT) AS STATIONS_ID, count(*) AS n_rows FROM raw GROUP BY 1, 2",
     "src_stations_geojson": f"""
 SELECT c_name AS name, printf('%04d', c_custkey) AS number, CAST(c_custkey % 2962 AS DOUBLE) AS height,
@@ -347,20 +354,35 @@ FROM joined WHERE month(Date) = {LEAP_MONTH}""",
     "dev_precip_month": _deviation(_PRECIP, MONTH),
     "dev_sun_year": _deviation(_SUN),
     "dev_sun_month": _deviation(_SUN, MONTH),
+    "dev_all_year": _deviation(_TEMP + _PRECIP + _SUN),
     "tile_temp": CLEAN + f"""
 SELECT station_id, {_r('avg(TNK)')} AS TNK_avg, {_r('avg(TMK)')} AS TMK_avg, {_r('avg(TXK)')} AS TXK_avg,
   count(*) FILTER (TXK >= 25) AS Sommertage, count(*) FILTER (TXK >= 30) AS Hitzetage,
   count(*) FILTER (TNK >= 20) AS Tropennaechte, count(*) FILTER (TNK < 0) AS Frosttage,
   count(*) FILTER (TXK < 0) AS Eistage
 FROM clean WHERE Jahr = {YEAR} GROUP BY 1""",
+    "tile_temp_month": CLEAN + f"""
+SELECT station_id, {_r('avg(TNK)')} AS TNK_avg, {_r('avg(TMK)')} AS TMK_avg, {_r('avg(TXK)')} AS TXK_avg,
+  count(*) FILTER (TXK >= 25) AS Sommertage, count(*) FILTER (TXK >= 30) AS Hitzetage,
+  count(*) FILTER (TNK >= 20) AS Tropennaechte, count(*) FILTER (TNK < 0) AS Frosttage,
+  count(*) FILTER (TXK < 0) AS Eistage
+FROM clean WHERE Jahr = {YEAR} AND Monat = {MONTH} GROUP BY 1""",
     "tile_precip": CLEAN + f"""
 SELECT station_id, {_r('coalesce(sum(RSK), 0.0)')} AS RSK_sum, count(*) FILTER (RSK >= 0.1) AS Regentage,
   count(*) FILTER (SHK_TAG > 1) AS Schneetage
 FROM clean WHERE Jahr = {YEAR} GROUP BY 1""",
+    "tile_precip_month": CLEAN + f"""
+SELECT station_id, {_r('coalesce(sum(RSK), 0.0)')} AS RSK_sum, count(*) FILTER (RSK >= 0.1) AS Regentage,
+  count(*) FILTER (SHK_TAG > 1) AS Schneetage
+FROM clean WHERE Jahr = {YEAR} AND Monat = {MONTH} GROUP BY 1""",
     "tile_sun": CLEAN + f"""
 SELECT station_id, {_r('coalesce(sum(SDK), 0.0)')} AS SDK_sum, count(*) FILTER (NM < 1.6) AS Heiteretage,
   count(*) FILTER (NM > 6.4) AS Truebetage
 FROM clean WHERE Jahr = {YEAR} GROUP BY 1""",
+    "tile_sun_month": CLEAN + f"""
+SELECT station_id, {_r('coalesce(sum(SDK), 0.0)')} AS SDK_sum, count(*) FILTER (NM < 1.6) AS Heiteretage,
+  count(*) FILTER (NM > 6.4) AS Truebetage
+FROM clean WHERE Jahr = {YEAR} AND Monat = {MONTH} GROUP BY 1""",
     "tile_temp_all": YEARLY + f"""
 SELECT station_id, {_r('avg(TNK)')} AS TNK_avg, {_r('avg(TMK)')} AS TMK_avg, {_r('avg(TXK)')} AS TXK_avg,
   {_list(f"{_near(_s(f'avg({c})'))} AS {c}" for c in ("Sommertage", "Hitzetage", "Tropennaechte", "Frosttage", "Eistage"))}
@@ -416,7 +438,7 @@ WHERE "Tageshöchsttemperatur" > 30.0
 SELECT {_DAILY_COLUMNS} FROM daily_table d
 WHERE CAST(Datum AS VARCHAR) LIKE '%-07-1%' AND concat_ws('  ', station_id, Datum, Tagesttiefsttemperatur,
   Tagesmitteltemperatur, "Tageshöchsttemperatur", Niederschlag, Sonnenscheindauer, Bedeckungsgrad, Temperaturspanne)
-  LIKE '%12.5%'""",
+  LIKE '%0.0%'""",
     "tbl_top_k": DAILY_TABLE + f"""
 SELECT station_id, CAST(Rang AS INT) AS Rang, Datum, {_r('"Tageshöchsttemperatur"')} AS "Tageshöchsttemperatur"
 FROM (SELECT *, row_number() OVER (
@@ -437,14 +459,15 @@ WHERE value <> 0""",
     "sun_month": DAYLENGTH + f"""
 SELECT station_id, date, sunshine_duration, '{MONTHS[MONTH - 1]}' AS Monat_german FROM lengths WHERE Monat = {MONTH}""",
     "sun_overlay": CLEAN + f""", {STATIONS},
-located AS (SELECT DISTINCT station_id, lat FROM clean JOIN stations ON station_id = number
+located AS (SELECT DISTINCT station_id, lat
+  FROM clean LEFT JOIN (SELECT * FROM stations WHERE CAST(number AS BIGINT) % 4 <> 1) ON station_id = number
   WHERE Jahr = {YEAR} AND SDK IS NOT NULL),
 angle AS (
   SELECT station_id, date, -tan(radians(lat))
     * tan(radians(23.5 * sin(radians(CAST(360 AS DOUBLE) / 365 * (dayofyear(date) - 81))))) AS x
   FROM (SELECT station_id, lat, CAST(make_date({YEAR}, 1, 1) + CAST(i AS INT) AS DATE) AS date FROM located, range(366) r(i)))
 SELECT a.station_id, a.date,
-  {_near("CASE WHEN x < -1 THEN 24.0::DOUBLE WHEN x > 1 THEN 0.0::DOUBLE ELSE 2 * degrees(acos(x)) / 15 END", 2)} AS sunshine_duration,
+  {_near("CASE WHEN x < -1 THEN 24.0::DOUBLE WHEN x > 1 THEN 0.0::DOUBLE WHEN x IS NOT NULL THEN 2 * degrees(acos(x)) / 15 END", 2)} AS sunshine_duration,
   {_r('SDK')} AS SDK
 FROM angle a LEFT JOIN clean c ON a.station_id = c.station_id AND a.date = c.Date""",
     "fn_precip_classes": CLEAN + f"""
