@@ -16,6 +16,7 @@ Null ids are kept. An empty table gives an empty result. Other columns are ignor
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from klimawerk.llm.storage import least_step, written
 
 HEAD = 1 << 17
-MEMO = 400_000
+MEMO = 100_000
+TOGETHER = 1_000
 LIMIT = 2048
 
 _SIMPLE = re.compile(r"[\t\n\r\x20-\x7E\xA0-įı-ſ‐-‧€]*+")
@@ -44,6 +46,8 @@ class Cutter:
     """Cuts texts into the pre-tokens of a tokenizer file."""
 
     def __init__(self, definition: bytes):
+        # Spark runs tasks side by side; threads inside one would only take more memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(definition)
@@ -54,12 +58,18 @@ class Cutter:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in special)) if special else None
         steps = [s["type"] for s in rules["normalizer"]["normalizers"]]
         split = rules["pre_tokenizer"]["pretokenizers"][0]
-        direct = steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"]
+        direct = (
+            steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["behavior"] == "Removed"
+            and split["invert"] and r"[\p{L}]+" in split["pattern"]["Regex"]
+        )
         self.pattern = regex.compile(split["pattern"]["Regex"]) if direct else None
 
         self.memo: dict[str, list[str]] = {}
 
-    def _of_word(self, word: str) -> list[str]:
+    def of_word(self, word: str) -> list[str]:
+        """Pre-tokens of a blank-separated word; letters only are one."""
+        if word.isalpha():
+            return [word]
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) >= MEMO:
@@ -84,8 +94,8 @@ class Cutter:
     def cut(self, words: Counter, others: Counter) -> Counter:
         """How often each pre-token occurs, given what ``add`` has counted."""
         for word, n in words.items():
-            for pre_token in self._of_word(word):
-                others[pre_token] += n
+            for pre_token in self.of_word(word):
+                others[pre_token] = others.get(pre_token, 0) + n
         return others
 
     def __call__(self, text: str) -> tuple[int, Counter]:
@@ -95,8 +105,17 @@ class Cutter:
         return special, self.cut(words, others)
 
     def pieces(self, pre_tokens: list[str]) -> list[int]:
-        """Pieces of each pre-token, by the library."""
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pre_tokens, add_special_tokens=False)]
+        """Pieces of each pre-token, by the library: many of them as one text, which cuts into the same pre-tokens."""
+        out: list[int] = []
+        for at in range(0, len(pre_tokens), TOGETHER):
+            part = pre_tokens[at:at + TOGETHER]
+            owner = self.tokenizer.encode(" ".join(part), add_special_tokens=False).word_ids
+            count = Counter(owner)
+            if len(count) == len(part) == max(owner, default=-1) + 1:
+                out += [count[i] for i in range(len(part))]
+            else:
+                out += [len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+        return out
 
 
 def _cut_by(definition: bytes) -> Callable[[], Cutter]:
@@ -158,9 +177,16 @@ def token_counts(
         for batch in batches:
             sums, names, times, limits = [], [], [], [0]
             for text in batch.column(2):
-                special, found = cut(text.as_py())
-                total = special
-                for pre_token, n in found.items():
+                words, others = Counter(), Counter()
+                total = cut.add(text.as_py(), words, others)
+                for word, n in words.items():
+                    count = known.get(word)  # a pre-token cuts into itself
+                    if count is None:
+                        for pre_token in cut.of_word(word):
+                            others[pre_token] = others.get(pre_token, 0) + n
+                    else:
+                        total += count * n
+                for pre_token, n in others.items():
                     count = known.get(pre_token)
                     if count is None:
                         names.append(pre_token)
