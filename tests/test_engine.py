@@ -29,6 +29,25 @@ def test_every_view_in_every_mode(engine):
     assert engine.possible_sunshine("alleMonate", 2000).count() == 732
 
 
+def test_sunshine_without_a_position(engine):
+    with pytest.raises(ValueError, match="per day"):
+        engine.possible_sunshine("all", 2000)
+    with pytest.raises(ValueError, match="per day"):
+        engine.possible_sunshine("all", 2000, 7)
+    nowhere = ClimateEngine(engine.days).possible_sunshine("einMonat", 2000, 7)
+    assert nowhere.filter("sunshine_duration is not null").count() == 62
+
+
+def test_search_and_top_k(engine, spark):
+    hot = engine.search({"column": "Tageshöchsttemperatur", "condition": ">", "value": [20.0]})
+    assert hot.count() == engine.table().filter("`Tageshöchsttemperatur` > 20").count() > 0
+    assert engine.text_search("2000-07").count() == engine.slice("einMonat", 2000, 7).count()
+    best = engine.top_k("Niederschlag", 3, "averaged")
+    assert best.count() == 6 and best.filter("Rang = 1").count() == 2
+    landed = spark.createDataFrame([("0001", '{"list": [{"dt": 5}]}'), ("0001", '{"list": [{"dt": 7}]}')], "station_id string, payload string")
+    assert [r.dt for r in ClimateEngine.latest(landed).collect()] == [7]
+
+
 def test_modes_are_checked(engine):
     for bad in [("jahr", 2000, 1), ("alleMonate", None, None), ("einMonat", 2000, None)]:
         with pytest.raises(ValueError):
@@ -58,3 +77,9 @@ def test_from_station_files(spark):
     assert engine.days.count() == expected.count()
     total = lambda df: df.agg(F.round(F.sum("TMK"), 6), F.round(F.sum("SDK"), 6), F.sum("Regentag")).first()
     assert total(engine.days) == total(expected)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        ClimateEngine.from_station_files(spark, f"{folder}/*", store=store)
+    again = ClimateEngine.open(spark, store, str(FIXTURES / "stations.geojson"))
+    assert total(again.days) == total(expected) and again.stations.count() == 3
+    plan = again.days._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan  # read, not cleaned

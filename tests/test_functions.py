@@ -57,8 +57,12 @@ def test_overlay_keeps_days_without_measurement(spark):
         "station_id string, Date date, SDK double",
     )
     out = sunshine.sunshine_overlay(days, stations, 2001).cache()
-    assert out.count() == 2 * 365  # 0009 has no position and takes the default; 0005 has no measurement
+    assert out.count() == 2 * 365  # 0005 has no measurement
     assert out.filter("SDK is not null").count() == 2
+    assert out.filter("station_id = '0009' and sunshine_duration is not null").count() == 0  # it has no position
+    assert out.filter("station_id = '0001' and sunshine_duration is null").count() == 0
+    default = sunshine.sunshine_overlay(days, None, 2001)
+    assert default.filter("sunshine_duration is not null").count() == 2 * 365
 
 
 def test_dates(spark):
@@ -74,6 +78,14 @@ def test_local_time_follows_summer_time(spark):
     assert [r[0] for r in df.select(dates.local_time_text(F.col("v"))).collect()] == ["01. Jun. 2024 14:00", "01. Jan. 2024 01:00"]
 
 
+@pytest.mark.parametrize("epoch, text", [
+    (1709467200, "03. Mär. 2024 13:00"), (1714996800, "06. Mai. 2024 14:00"), (1728043200, "04. Okt. 2024 14:00"),
+    (1733313600, "04. Dez. 2024 13:00"),
+])
+def test_local_time_has_german_months(spark, epoch, text):
+    assert column(spark, [epoch], "bigint").select(dates.local_time_text(F.col("v"))).first()[0] == text
+
+
 def test_local_time_does_not_depend_on_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
@@ -89,6 +101,11 @@ def test_nearest_on_ties_and_signs(spark):
     assert got == [0.1, 0.2, 0.3, 0.4, 2.5, 0.0, 0.0, 3.0, None]
 
 
+def test_nearest_leaves_large_values_alone(spark):
+    got = [r[0] for r in column(spark, [1e13, -1e13, 1e300, 9.3e12 + 0.5]).select(measures.nearest("v", 6)).collect()]
+    assert got == [1e13, -1e13, 1e300, 9.3e12 + 0.5]
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.floats(-1e4, 1e4), min_size=20, max_size=60))
 def test_nearest_is_within_half_a_step(spark, values):

@@ -63,7 +63,29 @@ def test_stream_equals_batch_over_several_batches(spark, landed):
     query = live.write_latest(stream, latest, fresh_folder(spark, "test-checkpoint"))
     query.awaitTermination()
     assert sorted(map(str, live.read_latest(spark, latest).collect())) == sorted(map(str, live.latest(batch).collect()))
-    assert len({r.batch_id for r in spark.read.parquet(latest).select("batch_id").distinct().collect()}) == 4
+    assert spark.read.parquet(f"{latest}/changes").select("batch_id").distinct().count() == 4
+    last = spark.read.parquet(f"{latest}/changes").filter("batch_id = 3")
+    assert [r.station_id for r in last.collect()] == ["0002"]  # a batch writes only what it changes
+
+
+def test_old_versions_are_emptied(spark):
+    folder, table = fresh_folder(spark, "test-landed"), fresh_folder(spark, "test-latest")
+    assert live.read_latest(spark, table).count() == 0
+    rows = [(f"{i % 3:04d}", 1717243200 + i) for i in range(7)]
+    for station, dt in rows:
+        spark.createDataFrame([(station, payload(dt))], live.LANDED).coalesce(1).write.mode("append").json(folder)
+    stream = live.read_landed_stream(spark, folder, files_per_batch=1)
+    live.write_latest(stream, table, fresh_folder(spark, "test-checkpoint"), compact_every=2).awaitTermination()
+    assert {r.station_id: r.dt for r in live.read_latest(spark, table).collect()} == dict(rows)
+    left = {part: {r.batch_id for r in spark.read.parquet(f"{table}/{part}").select("batch_id").collect()} for part in ("base", "changes")}
+    assert left == {"base": {3, 5}, "changes": {6}}
+
+
+def test_latest_is_a_hash_aggregate_and_settles_ties(spark):
+    rows = [("0001", payload(10, text="a")), ("0001", payload(10, text="b")), ("0002", "bad"), (None, payload(5))]
+    found = live.latest(live.normalise(spark.createDataFrame(rows, live.LANDED)))
+    assert {(r.station_id, r.dt, r.description) for r in found.collect()} == {("0001", 10, "b"), ("0002", None, None), (None, 5, "Regen")}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_restart_does_not_repeat_observations(spark, landed):

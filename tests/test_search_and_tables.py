@@ -28,14 +28,16 @@ def table(spark):
     ({"column": "T max", "condition": ">=", "value": [12.5]}, 3),
     ({"column": "T max", "condition": "between", "value": [0, 20]}, 2),
     ({"column": "T max", "condition": "!between", "value": [0, 20]}, 2),
+    ({"column": "n", "condition": "!=", "value": [1.0]}, 3),
+    ({"column": "n", "condition": "!between", "value": [0, 1]}, 3),
     ({"column": "n", "condition": "null"}, 1),
     ({"column": "n", "condition": "!null"}, 3),
     ({"column": "text", "condition": "starts", "value": ["REGEN"]}, 2),
-    ({"column": "text", "condition": "!starts", "value": ["regen"]}, 1),
+    ({"column": "text", "condition": "!starts", "value": ["regen"]}, 2),
     ({"column": "text", "condition": "ends", "value": ["reich"]}, 1),
-    ({"column": "text", "condition": "!ends", "value": ["reich"]}, 2),
+    ({"column": "text", "condition": "!ends", "value": ["reich"]}, 3),
     ({"column": "text", "condition": "contains", "value": ["nn"]}, 1),
-    ({"column": "text", "condition": "!contains", "value": ["nn"]}, 2),
+    ({"column": "text", "condition": "!contains", "value": ["nn"]}, 3),
 ])
 def test_conditions(table, leaf, expected):
     assert search.search_builder(table, {"logic": "AND", "criteria": [leaf]}).count() == expected

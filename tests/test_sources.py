@@ -3,7 +3,7 @@ import pytest
 
 from conftest import FIXTURES
 from klimawerk.operators import geo, stations
-from klimawerk.operators.cleaning import add_date_parts
+from klimawerk.operators.cleaning import add_date_parts, clean
 from klimawerk.session import fresh_folder
 from klimawerk.sources import geojson, materialised, station_files
 
@@ -29,6 +29,9 @@ def test_file_with_other_column_order_fails(spark):
     ("/a/produkt_klima_tag_19500101_20231231_00403.txt", "0403"),
     ("/a/produkt_klima_tag_19500101_20231231_10015.txt", "10015"),
     ("/a/file=produkt_klima_tag_00077.txt/part-00001-12345.csv", "0077"),
+    ("/a/produkt_klima_tag_19500101_20231231_00123456.txt", "123456"),
+    ("/a/produkt_klima_tag_19500101_20231231_9999999999.txt", "9999999999"),
+    ("/a/123.txt", None),
     ("/a/readme.md", None),
 ])
 def test_station_id_of(spark, path, expected):
@@ -89,5 +92,46 @@ def test_clean_table_on_disk(spark):
     materialised.write_clean(clean, path)
     back = materialised.read_clean(spark, path)
     assert back.count() == clean.count() and set(back.columns) == set(clean.columns)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        materialised.write_clean(clean, path)
+    materialised.write_clean(clean, path, replace=True)
+    assert materialised.read_clean(spark, path).count() == clean.count()
     plan = back.filter("Jahr = 2000").select("TMK")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Jahr" in plan
+
+
+def test_overlapping_files_of_a_station(spark, raw_days):
+    """Days that two files repeat are kept once on request; without it, or with other values, cleaning fails."""
+    year = [f"2001-{m:02}-{d:02}" for m in range(1, 13) for d in range(1, 29)]
+    first = raw_days([("0403", day, {"TMK": 1.0}) for day in year])
+    second = raw_days([("0403", day, {"TMK": 1.0}) for day in year[100:]])
+    other = raw_days([("0403", year[0], {"TMK": 2.0})])
+
+    def read(*frames, overlapping):
+        top = fresh_folder(spark, "test-overlap")
+        for n, frame in enumerate(frames):
+            station_files.write_station_files(frame, f"{top}/{n}")
+        return station_files.read_station_files(spark, f"{top}/*/*", overlapping)
+
+    assert clean(read(first, second, overlapping=True)).count() == len(year)
+    for frames, overlapping in (((first, second), False), ((first, other), True)):
+        with pytest.raises(Exception, match="two rows of station 0403 on 2001-"):
+            clean(read(*frames, overlapping=overlapping)).collect()
+
+
+def test_documents_are_parsed_once(spark):
+    from conftest import SMALL
+    from klimawerk.workload import inputs
+
+    collections = geojson.parse_feature_collections(inputs.outline_documents(spark, SMALL))
+    plan = geojson.outline_rings(collections)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(StructField(features") == 1
+
+
+def test_loaded_counts(spark):
+    raw = spark.createDataFrame([("0001",), ("0001",), ("0002",)], "station_id string")
+    kept = raw.filter("station_id = '0001'")
+    counts = {r.station_id: (r.n_rows, r.n_file_rows) for r in station_files.loaded_counts(raw, kept).collect()}
+    assert counts == {"0001": (2, 2), "0002": (0, 1)}
+    assert tuple(station_files.loaded_total(kept).first()) == (1, 2)
+    assert tuple(station_files.loaded_total(kept.limit(0)).first()) == (0, 0)
