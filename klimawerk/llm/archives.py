@@ -183,7 +183,7 @@ def _write(records: DataFrame, name: str) -> str:
     # The separator is the end of a record, which the column lacks.
     end = "\r\n\r\n" if name == "warc" else "\n"
     rows = records.select(F.col("value").cast("string").alias("value"))
-    rows.write.option("lineSep", end).option("compression", "gzip").text(path)
+    rows.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return path
 
 
