@@ -123,7 +123,10 @@ def _dealt(slots: int, shards: int, low: int, high: int, seed: list[int]) -> np.
 
 
 def drawn_slots(spark, sources: list[Source], seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(number, block, shard, draw): which block fills the ``draw``-th slot of a source."""
+    """(number, block, shard, draw): which block fills the ``draw``-th slot of a source.
+
+    Spark estimates the size of this table by its shards, far below its rows, so a join to it must state that it is large.
+    """
     total = sum(s.slots for s in sources)
     shards = max(1, -(-total // shard_slots))
     plan = [(s.number, s.blocks, s.slots) for s in sources if s.slots]
@@ -198,7 +201,7 @@ def mixture(
     placed = written(_placed(sized, sources), "placed")
     times = drawn_slots(docs.sparkSession, sources, seed).groupBy("number", "block").agg(F.count("*").alias("times"))
     taken = (
-        _pieces(placed, block_words).join(times, ["number", "block"])
+        _pieces(placed, block_words).join(times.hint("merge"), ["number", "block"])
         .groupBy("row").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
     )
     return placed.join(taken, "row", "left").select(
@@ -244,7 +247,8 @@ def mixed_blocks(
         F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("low", "doc_id", "text"))).alias("parts")
     )
     order = F.xxhash64("shard", "number", "draw", F.lit(seed))
-    return drawn_slots(docs.sparkSession, sources, seed).join(blocks, ["number", "block"]).select(
+    slots = drawn_slots(docs.sparkSession, sources, seed).hint("merge")
+    return slots.join(blocks, ["number", "block"]).select(
         "shard", order.alias("position"), "source", "block",
         F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.text", " ").alias("text"),
     )
