@@ -79,6 +79,8 @@ class DigestIndex:
                 "digest", F.bitwise_not("best.turned").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "copies"
             )
         )
+        # Written, or Spark would move the anti-join below the grouping, where a digest of very many copies is in one task.
+        batch = written(batch, "batch-digests")
         known = self.rows().select("digest")
         fresh = written(batch.join(known.hint("merge"), "digest", "left_anti"), "new-digests")
         older = written(
