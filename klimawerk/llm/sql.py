@@ -6,6 +6,39 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 ORACLE: dict[str, str] = {}
 
+# Lines, and the sentences of lines that have several, by their normalised text; all but the first occurrence.
+ORACLE["op1_substring_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, i, line, CAST(coalesce(sum(length(line) + 1) OVER (
+           PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS low
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM documents)
+),
+normal AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM line),
+part AS (
+  SELECT doc_id, i, low, j, s, low + CAST(length(regexp_extract(line, '^[.!?]*')) + coalesce(sum(length(s)) OVER (
+           PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS at_
+  FROM (SELECT *, unnest(all_s) AS s, generate_subscripts(all_s, 1) AS j
+        FROM (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*') AS all_s FROM normal
+              WHERE len(string_split(norm, ' ')) > 8) WHERE len(all_s) >= 2)
+),
+unit AS (
+  SELECT doc_id, i, 0 AS j, low AS start_, low + length(line) AS end_, norm FROM normal
+  WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5
+  UNION ALL
+  SELECT doc_id, i, j, at_, at_ + length(s), trim(regexp_replace(lower(s), '\s+', ' ', 'g')) FROM part
+  WHERE len(string_split(trim(regexp_replace(lower(s), '\s+', ' ', 'g')), ' ')) >= 8
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) AS n, min(doc_id) OVER (PARTITION BY norm) AS keep_id
+  FROM unit
+),
+removed AS (SELECT * FROM ranked WHERE n > 1)
+SELECT doc_id, CAST(start_ AS INTEGER) AS "start", CAST(end_ AS INTEGER) AS "end", keep_id
+FROM removed r
+WHERE j = 0 OR NOT EXISTS (SELECT 1 FROM removed w WHERE w.doc_id = r.doc_id AND w.i = r.i AND w.j = 0)
+"""
+
 ORACLE["op5_exact_dedup"] = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
