@@ -257,3 +257,16 @@ def test_kneser_ney_probabilities_sum_to_one(make_docs):
         p = language._probability(tables, grams, 4)[:, 0]
         unseen = language._probability(tables, np.array([grams[0] >> 12 << 12 | ord("z")]), 4)[0, 0]
         assert p.sum() + unseen * ((1 << 12) - len(codes)) == pytest.approx(1.0)
+
+
+def test_bitmap_of_slots(spark):
+    from pyspark.sql import functions as F
+    from klimawerk.llm.storage import slots_bitmap
+    from klimawerk.llm.text import in_bitmap
+
+    rows = spark.range(0, 5000, 1, 7).select(F.xxhash64("id").alias("h"))
+    bitmap = slots_bitmap(rows, F.col("h"))
+    hashes = np.array([r.h for r in rows.collect()]).view(np.uint64)
+    assert in_bitmap(bitmap, hashes).all()
+    assert int(np.bitwise_count(bitmap).sum()) == len(np.unique(hashes >> np.uint64(40)))
+    assert not slots_bitmap(rows.limit(0), F.col("h")).any()
