@@ -109,7 +109,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows that stay, with their own columns only."""
     dropped = (
         exact_duplicates(docs, id_col, text_col).where("not kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
     )
     # Columns go by their table, so that no name of the documents can clash.
     same = docs[id_col].cast("bigint").eqNullSafe(dropped["__id"]) & (digest(docs[text_col]) == dropped["__digest"])

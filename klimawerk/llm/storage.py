@@ -27,7 +27,7 @@ def text_key(text: str | Column) -> Column:
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are not in ``dropped(doc_id, text_key)``, with their own columns only."""
-    gone = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    gone = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     # Columns go by their table, so that no name of the documents can clash.
     same = docs[id_col].cast("bigint").eqNullSafe(gone["__id"]) & (text_key(docs[text_col]) == gone["__key"])
     return docs.join(gone, same, "left_anti")
