@@ -2,8 +2,8 @@
 
 A tokenizer of word pieces splits a text into pre-tokens and each pre-token into pieces, so a text's count is the sum of its
 pre-tokens' counts. The pieces of each distinct pre-token of the corpus are counted once by the tokenizer library, and joined
-to the pre-token frequencies of the documents. The most frequent pre-tokens (at most ``HEAD``, by how many documents have
-them) are joined by broadcast, all others by a shuffle.
+to the pre-token frequencies of the documents. The most frequent pre-tokens (at most ``HEAD``, by how often they occur) are
+joined by broadcast, all others by a shuffle.
 
 Texts are cut as the tokenizer file says: its special strings first, each one token as the library does by default, then
 normalisation and the pre-token pattern. Texts of plain Latin letters and ASCII are cut by that pattern directly, each distinct
@@ -63,7 +63,6 @@ class Cutter:
             and split["invert"] and r"[\p{L}]+" in split["pattern"]["Regex"]
         )
         self.pattern = regex.compile(split["pattern"]["Regex"]) if direct else None
-
         self.memo: dict[str, list[str]] = {}
 
     def of_word(self, word: str) -> list[str]:
