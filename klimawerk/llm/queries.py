@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from klimawerk.llm import archives, exact, language, mixing, simhash, substring, suffixes, tokens, toxicity, winnowing
+from klimawerk.llm import (
+    archives, conversations, exact, language, mixing, packing, ranking, simhash, substring, suffixes, tokens, toxicity, winnowing,
+)
 from klimawerk.llm.storage import table
 
 
@@ -55,9 +58,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.numbered_turns(table(spark, sf_dir, "conversations"))
+    return conversations.prefix_tree(conversations.with_shared_heads(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_suffix_dedup, op3_toxicity, op4_token_counts, op5_exact_dedup, op6_mixing, op7_simhash, op8_language, op9_decontamination,
-        op10_warc,
+        op10_warc, op11_packing, op12_ranking, op13_prefix_trie,
     )
 }

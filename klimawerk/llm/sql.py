@@ -103,3 +103,73 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = min(page_id) OVER w THEN NULL ELSE min(page_id) OVER w END AS refers_to
 FROM coded WINDOW w AS (PARTITION BY hex)
 """
+
+
+def _terms(table: str, key: str) -> str:
+    return rf"""
+  SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM {table}"""
+
+
+# Every document that shares a term with an item is scored.
+ORACLE["op12_ranking"] = rf"""
+WITH d AS ({_terms('documents', 'doc_id')}), i AS ({_terms('benchmark', 'item_id')}),
+size AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM size),
+posting AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+item_term AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM posting GROUP BY term), total
+),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM item_term JOIN posting USING (term) JOIN weight USING (term) JOIN size USING (doc_id), total
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY rank <= 10
+"""
+
+# CRC-32 bit by bit: each byte is mixed in before the first of its eight steps.
+ORACLE["op13_prefix_trie"] = """
+WITH conv AS (
+  SELECT conv_id, CAST(list_reduce(
+           list_prepend(4294967295::BIGINT, flatten([[CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]
+                                               FOR i IN range(1, 1 + length(CAST(conv_id AS VARCHAR)))])),
+           lambda crc, byte: xor(xor(crc, byte) >> 1, (xor(crc, byte) & 1) * 3988292384)) AS BIGINT) AS state
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+),
+head AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(state, 4294967295) % 9 AS h FROM conv),
+turned AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+rebuilt AS (
+  SELECT conv_id, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(o.turns, h + 1, len(o.turns))) AS turns
+  FROM head JOIN turned o USING (conv_id) LEFT JOIN (SELECT conv_id AS base, turns FROM turned) b USING (base)
+),
+prefix AS (
+  SELECT conv_id, CAST(d AS BIGINT) AS depth, list_slice(turns, 1, d) AS path, len(turns) AS size
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+),
+node AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256,
+         CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * strlen(path[-1].text) END AS saved
+  FROM prefix GROUP BY path, depth
+),
+child AS (SELECT list_slice(path, 1, depth - 1) AS path, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (path, depth)),
+below AS (
+  SELECT list_slice(path, 1, d) AS path, CAST(d AS BIGINT) AS depth, sum(saved) AS saved_tokens,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_node) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN below USING (path, depth)
+LEFT JOIN node p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = list_slice(n.path, 1, n.depth - 1)
+"""
