@@ -19,6 +19,7 @@ empty result. Reruns on equal rows agree up to the order of equal rows. Other co
 
 from __future__ import annotations
 
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,7 +37,7 @@ from klimawerk.llm.tokens import _SIMPLE, Cutter, _cut_by, _vocabulary
 SIZE = 4096
 END = 2
 MEMO = 200_000
-CHUNK = 1 << 23
+CHUNK = 1 << 24
 """Bytes of text that are encoded together; a longer text is taken alone."""
 
 
@@ -55,20 +56,30 @@ class Encoder:
     def __init__(self, cutter: Cutter):
         self.cutter = cutter
         self.letters = _byte_letters()
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _of_pre_token(self, pre_token: str) -> tuple[int, ...]:
-        found = self.memo.get(pre_token)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            written_as = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
-            found = self.memo[pre_token] = tuple(t.id for t in self.cutter.tokenizer.model.tokenize(written_as))
-        return found
-
-    def _of_word(self, word: str) -> tuple[int, ...]:
-        parts = self.cutter.of_word(word)
-        return self._of_pre_token(parts[0]) if len(parts) == 1 else tuple(i for p in parts for i in self._of_pre_token(p))
+        self.memo: dict[str, bytes] = {}
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(self.memo) < MEMO:  # frequent words come early
+            self.memo[word] = ids
+        return ids
+
+    def _of_pre_token(self, pre_token: str) -> bytes:
+        letters = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
+        return self._keep(pre_token, array("I", [t.id for t in self.cutter.tokenizer.model.tokenize(letters)]).tobytes())
+
+    def of_words(self, found: list[str]) -> list[bytes]:
+        """The ids of each blank-separated word; a pre-token is the word that cuts into itself."""
+        known = self.memo.get
+        out = [known(w) for w in found]
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = found[i]
+                if word.isalpha():
+                    out[i] = self._of_pre_token(word)
+                else:
+                    parts = self.cutter.pattern.findall(word)
+                    out[i] = self._keep(word, b"".join([known(p) or self._of_pre_token(p) for p in parts]))
+        return out
 
     def _plain(self, text: str) -> bool:
         special = self.cutter.special
@@ -79,13 +90,13 @@ class Encoder:
         plain = [self._plain(t) for t in texts]
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string())))
         found = lists.flatten().dictionary_encode()
-        of_word = [self._of_word(w) if w else () for w in found.dictionary.to_pylist()]
+        of_word = self.of_words(found.dictionary.to_pylist())
         # Texts that are not plain, and the end id, are further words.
         of_word += [
-            tuple(self.cutter.tokenizer.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain) if not p
+            array("I", self.cutter.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t, p in zip(texts, plain) if not p
         ]
         other = len(found.dictionary) + np.cumsum(~np.array(plain)) - 1
-        of_word.append((end,))
+        of_word.append(array("I", [end]).tobytes())
         closing = np.where(plain, len(of_word) - 1, other)
         limits = lists.offsets.to_numpy()
         word = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), limits[1:] - limits[0], closing)
@@ -94,8 +105,8 @@ class Encoder:
         word = np.insert(word, closed[late] + 1, len(of_word) - 1)
         closed = closed + np.cumsum(~np.array(plain))
 
-        sizes = np.fromiter(map(len, of_word), dtype=np.int64, count=len(of_word))
-        flat = np.fromiter((i for ids in of_word for i in ids), dtype=np.uint32, count=int(sizes.sum()))
+        sizes = np.fromiter(map(len, of_word), dtype=np.int64, count=len(of_word)) // 4
+        flat = np.frombuffer(b"".join(of_word), dtype=np.uint32)
         start = np.cumsum(sizes) - sizes
         count = sizes[word]
         total = np.cumsum(count)
@@ -132,7 +143,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     cut = source.mapInArrow(encode, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
-    return written(cut.select(F.monotonically_increasing_id().alias("piece"), *fields), "pieces")
+    return written(cut.select(F.monotonically_increasing_id().alias("piece"), *fields), "pieces", "zstd")
 
 
 # --- patterns --------------------------------------------------------------------------------------------------------

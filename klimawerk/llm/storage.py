@@ -13,10 +13,10 @@ from klimawerk.session import fresh_folder
 _BLOCK = 4096
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back, so that later steps survive lost executors."""
     path = fresh_folder(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
