@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from klimawerk.llm.ranks import ranked, sums_before
 from klimawerk.llm.storage import slots_bitmap, written
 from klimawerk.llm.text import NOT_ALNUM, chunks, in_bitmap, word_hashes, words
 
 BEST = 10
-FIRST_ROUND = 4
+FIRST_ROUND = 8
 """Terms of an item that the first round takes; all later rounds together double what is done."""
 
 _TERM = pa.struct([("term", pa.string()), ("hash", pa.int64()), ("tf", pa.int64())])
@@ -76,18 +75,18 @@ def terms(df: DataFrame, id_col: str, text_col: str, name: str, bitmap: np.ndarr
 
 
 def _plan(items: DataFrame, postings: DataFrame, total: int) -> DataFrame:
-    """(item, place, term, weight, remaining): an item's terms, rarest first; what these and all later ones can add at most."""
+    """(item, place, term, weight, remaining): an item's terms, rarest first; what these and all later ones can add at most.
+
+    An item's distinct terms are no more than its text, which one task held already.
+    """
     stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most"))
     one = items.select(F.col("row").alias("item"), F.explode("terms").alias("t")).select("item", "t.term", F.col("t.tf").alias("times"))
     w = F.floor(1000 * F.log((2.0 * total + 2) / (2 * F.col("df") + 1)))
-    weighed = one.join(stats, "term").select("item", "df", "term", (F.col("times") * w).alias("weight"), (F.col("times") * w * F.col("most")).alias("bound"))
-    placed = ranked(weighed, "item", ["df", "term"], "item-terms")
-    summed = sums_before(placed, "item", "rank", {"bound": "before"}, "item-places")
-    bounds = placed.groupBy("item").agg(F.sum("bound").alias("all_bounds"))
-    return written(
-        summed.join(bounds, "item").select("item", F.col("rank").alias("place"), "term", "weight", (F.col("all_bounds") - F.col("before")).alias("remaining")),
-        "item-plan",
-    )
+    weighed = one.join(stats, "term").select("item", "df", "term", (F.col("times") * w).alias("weight"), "most")
+    rarest = Window.partitionBy("item").orderBy("df", "term")
+    after = rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    place = (F.row_number().over(rarest) - 1).cast("bigint").alias("place")
+    return written(weighed.select("item", place, "term", "weight", F.sum(F.col("weight") * F.col("most")).over(after).alias("remaining")), "item-plan")
 
 
 def _leading(scores: DataFrame, k: int) -> DataFrame:
@@ -96,49 +95,47 @@ def _leading(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
-def _completed(scores: DataFrame, taken: DataFrame, plan: DataFrame, docs: DataFrame) -> DataFrame:
-    """The accumulators with all that the terms which their items have not taken add to them."""
-    rest = plan.join(taken, "item").where("place >= upto").select("item", "term", "weight")
+def _added(scores: DataFrame, rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item, row, score): what each of the given terms of an item adds to its accumulators."""
     met = docs.select("row", "m", "terms").join(scores.select("item", "row"), "row").select("item", "row", "m", F.explode("terms").alias("t"))
     later = met.select("item", "row", F.col("t.term").alias("term"), F.expr(_IMPACT).alias("impact")).join(rest, ["item", "term"])
-    more = later.select("item", "row", (F.col("weight") * F.col("impact")).alias("score"))
-    return scores.unionByName(more).groupBy("item", "row").agg(F.sum("score").alias("score"))
+    return later.select("item", "row", (F.col("weight") * F.col("impact")).alias("score"))
 
 
 def _accumulated(plan: DataFrame, postings: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(item, row, score) of the surviving accumulators; (item, upto, ahead, kth): the first place an item has not taken, what may follow."""
+    """(item, row, score) of the surviving accumulators; (item, upto): the first place that an item has not taken."""
     spark = plan.sparkSession
-    most = (plan.agg(F.max("place")).first()[0] or 0) + 1
     scores = spark.createDataFrame([], "item bigint, row bigint, score bigint")
     state = spark.createDataFrame([], "item bigint, upto bigint, ahead bigint, kth bigint")
-    rests = plan.select("item", F.col("place").alias("upto"), F.col("remaining").alias("ahead"))
     low, high = 0, FIRST_ROUND
-    while low < most:
+    while True:
         # Bounds fall from place to place and the k-th score only rises, so an item that has stopped stays so.
-        going = plan.where(F.col("place").between(low, high - 1)).join(state.select("item", "upto", "kth"), "item", "left")
-        going = going.where(F.coalesce("upto", F.lit(0)) == low).where("remaining >= coalesce(kth, 1)")
-        active = written(going.select("item", "place", "term", "weight"), "active-terms")
-        if active.isEmpty():
-            break
-        more = postings.join(active, "term").select("item", "row", (F.col("weight") * F.col("impact")).alias("score"))
-        scores = scores.unionByName(more.where("score > 0")).groupBy("item", "row").agg(F.sum("score").alias("score"))
-        scores = written(scores, "accumulators")
-        taken = active.groupBy("item").agg((F.max("place") + 1).alias("upto")).unionByName(state.select("item", "upto"))
-        taken = written(taken.groupBy("item").agg(F.max("upto").alias("upto")), "taken")
+        known = plan.join(state.select("item", "upto", "kth"), "item", "left").withColumn("upto", F.coalesce("upto", F.lit(0)))
+        active = (F.col("upto") == low) & F.col("place").between(low, high - 1) & F.expr("remaining >= coalesce(kth, 1)")
+        known = known.where("place >= upto").withColumn("active", active)
+        more = postings.join(known.where("active").select("item", "term", "weight"), "term")
+        more = more.select("item", "row", (F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
+        scores = written(scores.unionByName(more).groupBy("item", "row").agg(F.sum("score").alias("score")), "accumulators")
         # The leading documents are scored to the end, which gives a k-th score that the later terms are part of.
-        leading = _completed(written(_leading(scores, k), "leading"), taken, plan, docs)
-        kth = leading.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("item", "kth")
-        ahead = F.coalesce("ahead", F.lit(0).cast("bigint")).alias("ahead")
-        before = state.select("item", F.col("kth").alias("old_kth"))
+        leading = written(_leading(scores, k), "leading")
+        whole = leading.unionByName(_added(leading, known.where("not active").select("item", "term", "weight"), docs))
+        parts = whole.selectExpr("item", "row", "score", "NULL AS upto", "NULL AS ahead", "NULL AS kth").unionByName(
+            known.selectExpr("item", "NULL AS row", "NULL AS score", "if(active, place + 1, upto) AS upto", "if(active, 0, remaining) AS ahead", "kth")
+        ).unionByName(state.selectExpr("item", "NULL AS row", "NULL AS score", "upto", "CAST(0 AS BIGINT) AS ahead", "kth"))
         state = written(
-            taken.join(kth, "item", "left").join(before, "item", "left").join(rests, ["item", "upto"], "left")
-            .select("item", "upto", ahead, F.greatest("kth", "old_kth").alias("kth")),
+            parts.repartition("item")
+            .groupBy("item", "row").agg(F.sum("score").alias("score"), *[F.max(c).alias(c) for c in ("upto", "ahead", "kth")])
+            .groupBy("item").agg(
+                F.max("upto").alias("upto"), F.max("ahead").alias("ahead"),
+                F.greatest(F.max("kth"), F.when(F.count("row") == k, F.min("score"))).alias("kth"),
+            ),
             "item-state",
         )
         # Those that can't reach the k-th score any more are given up; met again, they still can't.
         scores = scores.join(state, "item").where("score + ahead >= coalesce(kth, 1)").select("item", "row", "score")
+        if state.where(F.col("upto") == high).isEmpty():
+            return scores, state.select("item", "upto")
         low, high = high, 2 * high
-    return scores, state.select("item", "upto")
 
 
 def ranked_documents(
@@ -157,7 +154,9 @@ def ranked_documents(
     postings = written(postings.join(exact, "term", "left_semi"), "postings")
     plan = _plan(wanted, postings, total)
     scores, taken = _accumulated(plan, postings, found, k)
-    whole = _completed(written(scores, "survivors"), taken, plan, found)
+    survivors = written(scores, "survivors")
+    rest = plan.join(taken, "item").where("place >= upto").select("item", "term", "weight")
+    whole = survivors.unionByName(_added(survivors, rest, found)).groupBy("item", "row").agg(F.sum("score").alias("score"))
     named = whole.where("score > 0").join(found.select("row", F.col("id").alias("doc_id")), "row")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     top = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
