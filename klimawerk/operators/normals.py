@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import in_period, is_leap_day, period_bounds
@@ -70,6 +70,41 @@ def normals_of_periods(
     )
 
 
+def normals_of_period_table(clean: DataFrame, periods: DataFrame, month: int | None = None) -> DataFrame:
+    """All normals of a table of periods (Period, first_year, last_year), of any number and overlap.
+
+    Yearly values become running sums and counts per station, so a period is the difference of two years' rows, which both are
+    found by equality: every station has a row for each year of the record as a whole. The work grows with the daily rows once and
+    with the result, not with the years in the periods. Sums are exact decimals, so the result is that of summing each period.
+    A station without data in a period has no row for it, and so has a period whose bounds are NULL or the wrong way round.
+    """
+    yearly = (
+        select_days(clean, month=month).groupBy("station_id", "Jahr").agg(*[metric_of_year(m) for m in METRICS])
+    )
+    span = yearly.agg(F.min("Jahr").alias("low"), F.max("Jahr").alias("high")).first()
+    low, high = (span["low"], span["high"]) if span["low"] is not None else (0, -1)
+    counted = yearly.select(
+        "station_id", "Jahr", F.lit(1).cast("bigint").alias("n"),
+        *[F.col(m).cast("decimal(20,9)").alias(m) for m in METRICS], *[F.col(m).isNotNull().cast("bigint").alias(f"n_{m}") for m in METRICS],
+    )
+    # One row per station and year of the whole record, and one before it with empty sums.
+    every = yearly.select("station_id").distinct().select("station_id", F.explode(F.sequence(F.lit(low - 1), F.lit(high))).alias("Jahr"))
+    so_far = Window.partitionBy("station_id").orderBy("Jahr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = ["n", *METRICS, *[f"n_{m}" for m in METRICS]]
+    running = every.join(counted, ["station_id", "Jahr"], "left").select(
+        "station_id", "Jahr", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in names]
+    )
+    inside = periods.select(
+        "Period", F.greatest("first_year", F.lit(low)).alias("first_year"), F.least("last_year", F.lit(high)).alias("last_year")
+    ).where("first_year <= last_year")
+    end = running.select("station_id", F.col("Jahr").alias("last_year"), *[F.col(c).alias(f"end_{c}") for c in names])
+    before = running.withColumn("first_year", F.col("Jahr") + 1).drop("Jahr")
+    both = inside.join(end, "last_year").join(before, ["station_id", "first_year"]).where(F.col("end_n") > F.col("n"))
+    return both.select("station_id", "Period", *[
+        F.expr(settled(f"CAST(end_{m} - {m} AS DOUBLE) / nullif(end_n_{m} - n_{m}, 0)")).alias(m) for m in METRICS
+    ])
+
+
 def daily_normals(clean: DataFrame, period: str | tuple[int, int], divisor: int = NORMAL_DIVISOR) -> DataFrame:
     """Normals per calendar day without 29 February.
 

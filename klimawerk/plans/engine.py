@@ -17,6 +17,7 @@ from klimawerk.schema import DEFAULT_STATION, PERIODS
 from klimawerk.sources.geojson import read_feature_collections, station_points
 from klimawerk.sources.materialised import read_clean, write_clean
 from klimawerk.sources.station_files import read_station_files
+from klimawerk.sources.versions import StationStore
 from klimawerk.streaming import live
 
 MONTH, YEAR, RECORD = "einMonat", "alleMonate", "all"
@@ -50,6 +51,13 @@ class ClimateEngine:
         """Read a cleaned table that was written before; nothing is cleaned again."""
         return cls(read_clean(spark, store), _points(spark, stations_path, multiline))
 
+    @classmethod
+    def from_store(
+        cls, spark: SparkSession, path: str, version: int | None = None, stations_path: str | None = None, multiline: bool = True
+    ) -> ClimateEngine:
+        """Read the current or a given version of a ``StationStore``; stations that are added later belong to later versions."""
+        return cls(StationStore(spark, path).read(version), _points(spark, stations_path, multiline))
+
     def for_station(self, station_id: str = DEFAULT_STATION) -> ClimateEngine:
         """The same engine restricted to one station."""
         return ClimateEngine(slices.select_days(self.days, station_id=station_id), self.stations)

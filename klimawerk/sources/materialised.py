@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 STATION_GROUPS = 64
 
@@ -28,6 +29,6 @@ def write_clean(clean: DataFrame, path: str, replace: bool = False) -> None:
     )
 
 
-def read_clean(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_clean(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """With a schema no job is needed to look it up; without one, extra columns of the source files are kept."""
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)

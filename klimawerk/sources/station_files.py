@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from klimawerk.functions.dates import parse_day
 from klimawerk.schema import STATION_FILE
 
 
@@ -21,35 +23,83 @@ def station_id_of(path: Column) -> Column:
     return F.when(digits != "", F.format_string("%04d", digits.try_cast("bigint")))
 
 
-def read_station_files(spark: SparkSession, paths: str | list[str], overlapping: bool = False) -> DataFrame:
-    """All matched station files as one DataFrame; a new station only needs a new file.
+REJECTED = "rejected_line"
 
-    The station number comes from the file name, or from the rows where the name has none.
-    Names and order of the header are checked against the schema, so a file of another layout fails loudly.
-    With ``overlapping``, days that several files of a station repeat with equal values are kept once; days with different
-    values stay, and cleaning fails on them.
-    """
-    days = (
-        spark.read.schema(STATION_FILE)
+
+def _reader(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
+    return (
+        spark.read.schema(schema)
         .option("sep", ";")
         .option("header", True)
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .csv(paths)
-        .withColumn("station_id", F.coalesce(
-            station_id_of(F.col("_metadata.file_path")), F.format_string("%04d", F.col("STATIONS_ID"))
-        ))
-        .drop("eor")
     )
+
+
+def _station() -> Column:
+    return F.coalesce(station_id_of(F.col("_metadata.file_path")), F.format_string("%04d", F.col("STATIONS_ID")))
+
+
+def read_station_files(spark: SparkSession, paths: str | list[str], overlapping: bool = False) -> DataFrame:
+    """All matched station files as one DataFrame; a new station only needs a new file.
+
+    The station number comes from the file name, or from the rows where the name has none.
+    Names and order of the header are checked against the schema, so a file of another layout fails loudly. A value or row that
+    can't be read becomes NULL here; ``land_station_files`` keeps such rows apart.
+    With ``overlapping``, days that several files of a station repeat with equal values are kept once; days with different
+    values stay, and cleaning fails on them.
+    """
+    days = _reader(spark, STATION_FILE).csv(paths).withColumn("station_id", _station()).drop("eor")
     return days.distinct() if overlapping else days
 
 
-def write_station_files(raw: DataFrame, folder: str) -> None:
-    """Blank-padded station files, one ``..._<id>.txt`` folder per station below ``folder``.
+class TooManyRejected(ValueError):
+    """More rows of some file were rejected than the loader allows."""
 
-    The rebalance splits a large station over several tasks and merges small ones.
+
+class Landed(NamedTuple):
+    """Rows that could be read; rejected ones with file, reason and their text; rows and rejected rows per file."""
+
+    days: DataFrame
+    rejected: DataFrame
+    files: DataFrame
+
+
+def land_station_files(spark: SparkSession, paths: str | list[str], folder: str, max_share: float = 0.01) -> Landed:
+    """Read station files whole, once, and keep the rows that can't be read in a quarantine table.
+
+    A row is ``malformed`` if it has too few or too many fields or a value that is no number, and ``impossible_day`` if its date is
+    none of the calendar. All rows are written below ``folder``, one sub-folder per outcome, before anything is decided, so
+    the text is parsed with all its columns and only once. Loading fails if more than ``max_share`` of the rows of any file
+    are rejected; the quarantine is kept for inspection then too.
     """
+    parsed = _reader(spark, T.StructType([*STATION_FILE.fields, T.StructField(REJECTED, T.StringType())]))
+    rows = parsed.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED).csv(paths)
+    line = F.concat_ws(";", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in STATION_FILE.names])
+    reason = F.when(F.col(REJECTED).isNotNull(), "malformed").when(parse_day(F.col("MESS_DATUM")).isNull(), "impossible_day")
+    rows = rows.withColumns({"station_id": _station(), "file": F.col("_metadata.file_path"), "reason": F.coalesce(reason, F.lit("ok"))})
+    rows = rows.withColumn(REJECTED, F.when(F.col("reason") != "ok", F.coalesce(REJECTED, line))).drop("eor")
+    rows.write.partitionBy("reason").parquet(folder)
+
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "reason"], T.StructField("reason", T.StringType())])
+    landed = spark.read.schema(schema).parquet(folder)
+    name = F.regexp_replace("file", r"(\.txt)/[^/]*$", "$1")
+    files = landed.groupBy(name.alias("file")).agg(
+        F.min("station_id").alias("station_id"), F.count("*").alias("n_rows"), F.count_if(F.col("reason") != "ok").alias("n_rejected")
+    )
+    worst = files.where(F.col("n_rejected") > max_share * F.col("n_rows")).orderBy(F.desc(F.col("n_rejected") / F.col("n_rows")), "file").first()
+    if worst is not None:
+        raise TooManyRejected(f"{worst['n_rejected']} of {worst['n_rows']} rows of {worst['file']} are rejected, see {folder}")
+    return Landed(
+        landed.where("reason = 'ok'").drop(REJECTED, "file", "reason"),
+        landed.where("reason != 'ok'").select("station_id", "file", "reason", REJECTED),
+        files,
+    )
+
+
+def padded_columns(raw: DataFrame) -> list[Column]:
+    """The columns of a station file as blank-padded text."""
     def padded(field: T.StructField) -> Column:
         width = max(len(field.name), 6)
         if field.name == "STATIONS_ID":
@@ -62,10 +112,18 @@ def write_station_files(raw: DataFrame, folder: str) -> None:
             value = F.lit("-999")
         return F.when(F.length(value) < width, F.lpad(value, width, " ")).otherwise(value).alias(field.name)
 
+    return [padded(f) for f in STATION_FILE.fields]
+
+
+def write_station_files(raw: DataFrame, folder: str) -> None:
+    """Blank-padded station files, one ``..._<id>.txt`` folder per station below ``folder``.
+
+    The rebalance splits a large station over several tasks and merges small ones.
+    """
     name = F.format_string("produkt_klima_tag_%05d.txt", F.col("station_id").cast("int"))
     (
         raw.hint("rebalance", "station_id")
-        .select(*[padded(f) for f in STATION_FILE.fields], name.alias("file"))
+        .select(*padded_columns(raw), name.alias("file"))
         .write.partitionBy("file")
         .option("sep", ";")
         .option("header", True)

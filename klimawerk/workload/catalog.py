@@ -17,7 +17,7 @@ from klimawerk.operators.reshape import temperatures_long
 from klimawerk.operators.yearly import yearly
 from klimawerk.schema import MEASURES, PERIODS, THRESHOLD_DAYS
 from klimawerk.session import fresh_folder
-from klimawerk.sources import geojson, station_files
+from klimawerk.sources import geojson, station_files, versions
 from klimawerk.streaming import live
 from klimawerk.workload import inputs
 
@@ -83,6 +83,33 @@ def src_station_id(spark, sf_dir):
     return inputs.station_files(spark, sf_dir).groupBy("station_id", "STATIONS_ID").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def src_rejected_rows(spark, sf_dir):
+    landed = station_files.land_station_files(
+        spark, f"{inputs.flawed_station_files(spark, sf_dir)}/*", fresh_folder(spark, "landed"), max_share=0.5
+    )
+    return landed.rejected.groupBy("station_id", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def src_landed_rows(spark, sf_dir):
+    landed = station_files.land_station_files(
+        spark, f"{inputs.flawed_station_files(spark, sf_dir)}/*", fresh_folder(spark, "landed"), max_share=0.5
+    )
+    return landed.days.select("station_id", "MESS_DATUM", *MEASURES)
+
+
+@query
+def src_versioned_store(spark, sf_dir):
+    """All stations at first with wrong temperatures at every second one, then these anew: the last version has no wrong row."""
+    raw = inputs.daily(spark, sf_dir)
+    odd = F.col("station_id").cast("bigint") % 2 == 1
+    store = versions.StationStore(spark, fresh_folder(spark, "store"))
+    store.put(raw.withColumn("TMK", F.when(odd, F.col("TMK") + 40).otherwise(F.col("TMK"))))
+    store.put(raw.where(odd))
+    return store.read().select("station_id", "Date", *MEASURES)
+
+
 @query
 def src_stations_geojson(spark, sf_dir):
     folder = fresh_folder(spark, "points")
@@ -252,6 +279,11 @@ def nrm_all_periods(spark, sf_dir):
     return normals.normals_of_periods(inputs.cleaned(spark, sf_dir), ALL_PERIODS)
 
 
+@query
+def nrm_period_table(spark, sf_dir):
+    return normals.normals_of_period_table(inputs.cleaned(spark, sf_dir), inputs.periods(spark, sf_dir))
+
+
 @query
 def nrm_daily(spark, sf_dir):
     return normals.daily_normals(inputs.cleaned(spark, sf_dir), PERIOD)

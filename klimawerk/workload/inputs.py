@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klimawerk.operators.cleaning import clean
-from klimawerk.schema import CLEAN_DAYS, MAP_LAYERS, RAW_DAYS, SENTINEL
+from klimawerk.schema import CLEAN_DAYS, MAP_LAYERS, RAW_DAYS, SENTINEL, STATION_FILE
 from klimawerk.session import shared_folder
+from klimawerk.sources import station_files as station_lines
 from klimawerk.sources.materialised import read_clean, write_clean
 from klimawerk.sources.station_files import read_station_files, write_station_files
 
@@ -93,6 +94,33 @@ def station_files(spark: SparkSession, sf_dir: str, names: str = "*") -> DataFra
     return read_station_files(spark, f"{path}/{names}")
 
 
+def flawed_station_files(spark: SparkSession, sf_dir: str) -> str:
+    """Station files, one per station, with planted faults: 13 May is cut off after four fields, the mean temperature of 21 July has a
+    decimal comma, and 3 September is dated the 31st. Returns the folder."""
+    def write(path: str) -> None:
+        raw = daily(spark, sf_dir)
+        day = F.col("MESS_DATUM") % 10000
+        raw = raw.withColumn("MESS_DATUM", F.when(day == 903, F.col("MESS_DATUM") + 28).otherwise(F.col("MESS_DATUM")))
+        fields = station_lines.padded_columns(raw)
+        comma = [F.lit("   1,5") if name == "TMK" else c for name, c in zip(STATION_FILE.names, fields)]
+        line = F.when(day == 513, F.concat_ws(";", *fields[:4])).when(day == 721, F.concat_ws(";", *comma)).otherwise(F.concat_ws(";", *fields))
+        name = F.format_string("produkt_klima_tag_%05d.txt", F.col("station_id").cast("int"))
+        rows = raw.hint("rebalance", "station_id").select(line.alias(";".join(STATION_FILE.names)), name.alias("file"))
+        # One column whose name is the whole header; the separator of its own never occurs, so nothing is quoted.
+        rows.write.partitionBy("file").options(sep="\x01", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+    return _prepared(spark, sf_dir, "flawed-files", write)
+
+
+def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference period per supplier, of one to seven years, some without data."""
+    key = F.col("s_suppkey")
+    first = (1985 + key % 17).cast("int")
+    return table(spark, sf_dir, "supplier").select(
+        F.format_string("P%06d", key).alias("Period"), first.alias("first_year"), (first + key % 7).cast("int").alias("last_year")
+    )
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station dimension in the shape of the point source: one station per eight suppliers."""
     blocks = (

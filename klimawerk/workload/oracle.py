@@ -299,6 +299,11 @@ FROM valid GROUP BY 1, 2""",
     "cln_dayofyear_mean": VALID + f"""
 SELECT station_id, Monat, Tag, {_list(f"{_r(f'avg({c}) FILTER ({c} <> -999)')} AS {c}_mean" for c in MEASURES)}
 FROM valid GROUP BY 1, 2, 3""",
+    "src_rejected_rows": RAW + """
+SELECT station_id, CASE WHEN MESS_DATUM % 10000 = 903 THEN 'impossible_day' ELSE 'malformed' END AS reason, count(*) AS n_rows
+FROM raw WHERE MESS_DATUM % 10000 IN (513, 721, 903) GROUP BY 1, 2""",
+    "src_landed_rows": RAW + f"SELECT station_id, MESS_DATUM, {_MEASURES_6} FROM raw WHERE MESS_DATUM % 10000 NOT IN (513, 721, 903)",
+    "src_versioned_store": CLEAN + f"SELECT station_id, Date, {_MEASURES_6} FROM filled",
     "cln_gapfill": CLEAN + f"SELECT station_id, Date, {_MEASURES_6} FROM filled",
     "flt_year": CLEAN + f"SELECT station_id, Date, {_MEASURES_6} FROM clean WHERE Jahr = {YEAR}",
     "flt_month": CLEAN + f"SELECT station_id, Date, {_MEASURES_6} FROM clean WHERE Jahr = {YEAR} AND Monat = {MONTH}",
@@ -336,6 +341,13 @@ FROM (
   SELECT station_id, Period, Jahr, {_per_year(_METRICS)}
   FROM clean JOIN periods ON Jahr BETWEEN first_year AND last_year GROUP BY 1, 2, 3)
 GROUP BY 1, 2""",
+    "nrm_period_table": CLEAN + f""",
+periods AS (
+  SELECT printf('P%06d', CAST(s_suppkey AS INT)) AS Period, 1985 + s_suppkey % 17 AS first_year, 1985 + s_suppkey % 17 + s_suppkey % 7 AS last_year
+  FROM supplier),
+per_year AS (SELECT station_id, Jahr, {_per_year(_METRICS)} FROM clean GROUP BY 1, 2)
+SELECT station_id, Period, {_list(f"{_r(f'avg({m})')} AS {m}" for m in _METRICS)}
+FROM per_year JOIN periods ON Jahr BETWEEN first_year AND last_year GROUP BY 1, 2""",
     "nrm_daily": DAY_NORMALS + f"""
 SELECT station_id, Month, Day, {_r('Average_TMK')} AS Average_TMK, {_r('Average_RSK')} AS Average_RSK,
   {_r('Average_SDK')} AS Average_SDK

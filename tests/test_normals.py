@@ -87,3 +87,28 @@ def test_record_averages_leave_out_empty_years(spark):
     rain, sun = slices.precipitation_record(df).first(), slices.sun_record(df).first()
     assert (rain.Avg_RSK_sum, rain.Avg_Regentage, rain.Avg_Schneetage, rain.first_year) == (6.0, 3.0, 1.0, 2002)
     assert (sun.Avg_SDK_sum, sun.Avg_Heiteretage, sun.Avg_Truebetage, sun.last_year) == (15.0, 2.0, 3.0, 2003)
+
+
+def test_table_of_a_thousand_periods(spark, raw_days):
+    rows = [
+        (f"{s:04d}", f"{y}-{m:02d}-10", {"TMK": s + y % 7 + m / 10, "RSK": m / 3, "SDK": None if y == 1995 else 1.0, "NM": 1.0})
+        for s in (1, 2) for y in (1991, 1992, 1995, 1996, 2003) if (s, y) != (2, 2003) for m in range(1, 13)
+    ]
+    days = cleaning.clean(raw_days(rows))
+    periods = [(f"{a}-{b}", a, b) for a in range(1970, 2012) for b in range(a - 1, a + 24)] + [("none", None, 2000)]
+    found = normals.normals_of_period_table(days, spark.createDataFrame(periods, "Period string, first_year int, last_year int"))
+    by_key = {(r.station_id, r.Period): r for r in found.collect()}
+    listed = [p for p in periods if p[1] is not None and p[1] <= p[2]][::40]
+    expected = normals.normals_of_periods(days, [(a, b) for _, a, b in listed])
+    for r in expected.collect():
+        assert by_key[r.station_id, r.Period].asDict() == r.asDict()
+    names = {p for p, _, _ in listed}
+    assert {k for k in by_key if k[1] in names} == {(r.station_id, r.Period) for r in expected.collect()}
+    assert len(periods) > 1000 and len(by_key) > 900 and ("0002", "2003-2003") not in by_key
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_table_of_periods_without_rows(spark, raw_days):
+    periods = spark.createDataFrame([("a", 1990, 1999)], "Period string, first_year int, last_year int")
+    assert normals.normals_of_period_table(cleaning.clean(raw_days([])), periods).collect() == []
