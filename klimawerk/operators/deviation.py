@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from klimawerk.functions.dates import period_bounds
 from klimawerk.functions.measures import mean, nearest
-from klimawerk.operators.normals import METRICS, metric_of_year
-from klimawerk.operators.slices import select_days
+from klimawerk.operators.normals import METRICS, year_metrics
 
 TEMPERATURE = ["TMK", "TXK", "TNK", "Sommertag", "Hitzetag", "Frosttag", "Eistag", "Tropennacht"]
 PRECIPITATION = ["RSK", "Regentag", "Schneetag"]
@@ -27,14 +26,18 @@ def deviations(
     The slice is one more year of the yearly aggregate, so value and normal come from one scan and need no join: the
     second level averages the years of the period and picks the selected one.
     """
+    start, end = period_bounds(period)
+    needed = clean.filter(f"Jahr = {int(year)} or Jahr between {start} and {end}")
+    return deviations_of_years(year_metrics(needed, metrics or METRICS, month), year, period, metrics)
+
+
+def deviations_of_years(per_year: DataFrame, year: int, period: str | tuple[int, int], metrics: list[str] | None = None) -> DataFrame:
+    """The same from one row per station and year."""
     metrics = metrics or METRICS
     start, end = period_bounds(period)
     selected, reference = f"Jahr = {int(year)}", f"Jahr between {start} and {end}"
     both = (
-        select_days(clean, month=month)
-        .filter(f"{selected} or {reference}")
-        .groupBy("station_id", "Jahr")
-        .agg(*[metric_of_year(m) for m in metrics])
+        per_year.filter(f"{selected} or {reference}")
         .groupBy("station_id")
         .agg(
             F.expr(f"count_if({selected})").alias("n_selected"),

@@ -23,6 +23,13 @@ def metric_of_year(metric: str) -> Column:
     return (mean(metric) if metric in MEAN_METRICS else total(metric)).alias(metric)
 
 
+def year_metrics(
+    clean: DataFrame, metrics: list[str] = METRICS, month: int | None = None, years: tuple[int, int] | None = None
+) -> DataFrame:
+    """First level: one row per station and year. ``partials.year_metrics`` gives the same from monthly sums."""
+    return select_days(clean, years=years, month=month).groupBy("station_id", "Jahr").agg(*[metric_of_year(m) for m in metrics])
+
+
 def mean_over_time(
     clean: DataFrame, column: str, period: str | tuple[int, int], month: int | None = None, is_day: bool = False
 ) -> DataFrame:
@@ -56,15 +63,18 @@ def normals_of_periods(
     The yearly aggregate comes first; only its rows, one per station and year, are repeated for each period that
     contains them. A station without data in a period has no row for it.
     """
+    bounds = [period_bounds(p) for p in periods or PERIODS]
+    return periods_of_years(year_metrics(clean, month=month, years=(min(b[0] for b in bounds), max(b[1] for b in bounds))), periods)
+
+
+def periods_of_years(per_year: DataFrame, periods: list[str | tuple[int, int]] | None = None) -> DataFrame:
+    """Second level of ``normals_of_periods``."""
     bounds = [(f"{s}-{e}", s, e) for s, e in map(period_bounds, periods or PERIODS)]
     matching = F.array_compact(F.array(*[
         F.when(F.col("Jahr").between(start, end), F.lit(label)) for label, start, end in bounds
     ]))
     return (
-        select_days(clean, years=(min(b[1] for b in bounds), max(b[2] for b in bounds)), month=month)
-        .groupBy("station_id", "Jahr")
-        .agg(*[metric_of_year(m) for m in METRICS])
-        .withColumn("Period", F.explode(matching))
+        per_year.withColumn("Period", F.explode(matching))
         .groupBy("station_id", "Period")
         .agg(*[mean(m).alias(m) for m in METRICS])
     )
@@ -78,9 +88,11 @@ def normals_of_period_table(clean: DataFrame, periods: DataFrame, month: int | N
     with the result, not with the years in the periods. Sums are exact decimals, so the result is that of summing each period.
     A station without data in a period has no row for it, and so has a period whose bounds are NULL or the wrong way round.
     """
-    yearly = (
-        select_days(clean, month=month).groupBy("station_id", "Jahr").agg(*[metric_of_year(m) for m in METRICS])
-    )
+    return period_table_of_years(year_metrics(clean, month=month), periods)
+
+
+def period_table_of_years(yearly: DataFrame, periods: DataFrame) -> DataFrame:
+    """Second level of ``normals_of_period_table``."""
     span = yearly.agg(F.min("Jahr").alias("low"), F.max("Jahr").alias("high")).first()
     low, high = (span["low"], span["high"]) if span["low"] is not None else (0, -1)
     counted = yearly.select(

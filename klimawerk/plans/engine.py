@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from klimawerk.operators import deviation, normals, running, search, slices, sunshine, tables
+from klimawerk.operators import deviation, normals, partials, running, search, slices, sunshine, tables
 from klimawerk.operators.cleaning import clean
 from klimawerk.operators.reshape import temperatures_long
 from klimawerk.operators.yearly import yearly
@@ -24,9 +24,11 @@ MONTH, YEAR, RECORD = "einMonat", "alleMonate", "all"
 
 
 class ClimateEngine:
-    def __init__(self, clean_days: DataFrame, stations: DataFrame | None = None):
+    def __init__(self, clean_days: DataFrame, stations: DataFrame | None = None, months: DataFrame | None = None):
+        """With ``months``, the monthly partial sums of the days, yearly rows, normals and deviations need no daily rows."""
         self.days = clean_days
         self.stations = stations
+        self.months = months
 
     @classmethod
     def from_station_files(
@@ -56,11 +58,14 @@ class ClimateEngine:
         cls, spark: SparkSession, path: str, version: int | None = None, stations_path: str | None = None, multiline: bool = True
     ) -> ClimateEngine:
         """Read the current or a given version of a ``StationStore``; stations that are added later belong to later versions."""
-        return cls(StationStore(spark, path).read(version), _points(spark, stations_path, multiline))
+        store = StationStore(spark, path)
+        version = version or store.versions()[-1]  # both tables of one version, whatever is added meanwhile
+        return cls(store.read(version), _points(spark, stations_path, multiline), store.read_months(version))
 
     def for_station(self, station_id: str = DEFAULT_STATION) -> ClimateEngine:
         """The same engine restricted to one station."""
-        return ClimateEngine(slices.select_days(self.days, station_id=station_id), self.stations)
+        months = None if self.months is None else slices.select_days(self.months, station_id=station_id)
+        return ClimateEngine(slices.select_days(self.days, station_id=station_id), self.stations, months)
 
     # Choices
 
@@ -80,7 +85,7 @@ class ClimateEngine:
         """Daily rows of a month or year, or the yearly rows of the record."""
         _check(mode, year, month)
         if mode == RECORD:
-            return yearly(self.days, month)
+            return yearly(self.days, month) if self.months is None else partials.yearly(self.months, month)
         return slices.select_days(self.days, year=year, month=month if mode == MONTH else None)
 
     def _with_normals(self, mode: str, year: int, month: int | None, period: str | tuple[int, int]) -> DataFrame:
@@ -159,7 +164,16 @@ class ClimateEngine:
 
     def _deviations(self, mode, year, month, period, metrics) -> DataFrame:
         _check(mode, year, month)
-        return deviation.deviations(self.days, year, period, month if mode == MONTH else None, metrics)
+        month = month if mode == MONTH else None
+        if self.months is None:
+            return deviation.deviations(self.days, year, period, month, metrics)
+        return deviation.deviations_of_years(partials.year_metrics(self.months, metrics, month), year, period, metrics)
+
+    def normals(self, periods: DataFrame, month: int | None = None) -> DataFrame:
+        """All normals of a table of periods (Period, first_year, last_year)."""
+        if self.months is None:
+            return normals.normals_of_period_table(self.days, periods, month)
+        return normals.period_table_of_years(partials.year_metrics(self.months, normals.METRICS, month), periods)
 
     # Tables
 

@@ -1,6 +1,6 @@
 """A store of cleaned stations in versions: stations are added or renewed alone, and readers keep the version they opened.
 
-Each change writes the cleaned rows of its stations to a new part and lists these stations beside it; nothing is ever
+Each change writes the cleaned rows of its stations and their monthly partial sums to a new part and lists these stations beside it; nothing is ever
 written into an existing folder. A version is a small file that names its parts in order, put in place by a rename as the last step.
 A change that fails before that leaves the current version as it was, and of two changes made at once the second to finish
 fails. A station's rows are those of the last part that lists it.
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from klimawerk.operators.cleaning import clean
+from klimawerk.operators.partials import monthly_partials
 from klimawerk.sources.materialised import read_clean, write_clean
 
 MAX_PARTS = 16
@@ -43,7 +44,7 @@ class StationStore:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
 
     def _parts(self, version: int) -> list[dict]:
-        """Name and schema of a version's parts, oldest first; version 0 is empty."""
+        """Names and schemas of a version's parts, oldest first; version 0 is empty."""
         if not version:
             return []
         text = self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first()[0]
@@ -74,12 +75,17 @@ class StationStore:
             raise ValueError(f"{self.path} holds no version {version}")
         return self._live(self._parts(version or known[-1]))
 
-    def _live(self, parts: list[dict]) -> DataFrame:
+    def read_months(self, version: int | None = None) -> DataFrame:
+        """The monthly partial sums of the same rows, see ``operators.partials``."""
+        known = self.versions()
+        return self._live(self._parts(version or known[-1]), "months")
+
+    def _live(self, parts: list[dict], table: str = "days") -> DataFrame:
         out = None
         newer = None
         for part in reversed(parts):
             folder = f"{self.path}/parts/{part['name']}"
-            rows = read_clean(self.spark, f"{folder}/days", StructType.fromJson(part["schema"]))
+            rows = read_clean(self.spark, f"{folder}/{table}", StructType.fromJson(part[table]))
             stations = self.spark.read.schema("station_id string").parquet(f"{folder}/stations")
             rows = rows if newer is None else rows.join(newer, "station_id", "left_anti")
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -112,9 +118,13 @@ class StationStore:
 
     def _write(self, days: DataFrame, stations: DataFrame) -> dict:
         name = uuid.uuid4().hex
-        write_clean(days, f"{self.path}/parts/{name}/days")
-        stations.distinct().write.parquet(f"{self.path}/parts/{name}/stations")
-        return {"name": name, "schema": days.schema.jsonValue()}  # a part may hold no row to tell it from
+        folder = f"{self.path}/parts/{name}"
+        write_clean(days, f"{folder}/days")
+        months = monthly_partials(read_clean(self.spark, f"{folder}/days", days.schema))
+        months.hint("rebalance", "station_id").sortWithinPartitions("station_id", "Jahr", "Monat").write.parquet(f"{folder}/months")
+        stations.distinct().write.parquet(f"{folder}/stations")
+        # With their schemas, as a part may hold no row to tell them from.
+        return {"name": name, "days": days.schema.jsonValue(), "months": months.schema.jsonValue()}
 
     def expire(self, keep: int = 2) -> None:
         """Remove all but the last ``keep`` versions, and parts that no kept version names. Their readers must have finished.

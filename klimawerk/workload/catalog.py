@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from klimawerk.functions.dates import month_label
 from klimawerk.functions.measures import nearest
 from klimawerk.operators import (
-    cleaning, deviation, geo, layers, normals, precipitation, running, search, slices, spells, sunshine, tables,
+    cleaning, deviation, geo, layers, normals, partials, precipitation, running, search, slices, spells, sunshine, tables,
 )
 from klimawerk.operators import stations as station_dim
 from klimawerk.operators.reshape import temperatures_long
@@ -394,6 +394,49 @@ def tile_sun_all(spark, sf_dir):
     return slices.sun_record(yearly(inputs.cleaned(spark, sf_dir)))
 
 
+# The same from monthly partial sums
+
+
+def _months(spark, sf_dir, month=None):
+    return slices.select_days(inputs.months(spark, sf_dir), year=YEAR, month=month)
+
+
+@query
+def prt_yearly(spark, sf_dir):
+    return partials.yearly(inputs.months(spark, sf_dir))
+
+
+@query
+def prt_normals(spark, sf_dir):
+    return normals.periods_of_years(partials.year_metrics(inputs.months(spark, sf_dir), normals.METRICS), ALL_PERIODS)
+
+
+@query
+def prt_period_table(spark, sf_dir):
+    per_year = partials.year_metrics(inputs.months(spark, sf_dir), normals.METRICS, month=MONTH)
+    return normals.period_table_of_years(per_year, inputs.periods(spark, sf_dir))
+
+
+@query
+def prt_deviations(spark, sf_dir):
+    return deviation.deviations_of_years(partials.year_metrics(inputs.months(spark, sf_dir), normals.METRICS), YEAR, PERIOD)
+
+
+@query
+def prt_temp_month(spark, sf_dir):
+    return partials.temperature_totals(_months(spark, sf_dir, MONTH))
+
+
+@query
+def prt_precip_year(spark, sf_dir):
+    return partials.precipitation_totals(_months(spark, sf_dir))
+
+
+@query
+def prt_sun_month(spark, sf_dir):
+    return partials.sun_totals(_months(spark, sf_dir, MONTH))
+
+
 # Windows
 
 

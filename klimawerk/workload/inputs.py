@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klimawerk.operators.cleaning import clean
+from klimawerk.operators.partials import monthly_partials
 from klimawerk.schema import CLEAN_DAYS, MAP_LAYERS, RAW_DAYS, SENTINEL, STATION_FILE
 from klimawerk.session import shared_folder
 from klimawerk.sources import station_files as station_lines
@@ -88,6 +89,12 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_clean(spark, path, CLEAN_DAYS)
 
 
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly partial sums of the cleaned table, written once per application."""
+    path = _prepared(spark, sf_dir, "months", lambda p: monthly_partials(cleaned(spark, sf_dir)).write.mode("overwrite").parquet(p))
+    return spark.read.parquet(path)
+
+
 def station_files(spark: SparkSession, sf_dir: str, names: str = "*") -> DataFrame:
     """The daily table as one station file per station, written once per application; those whose names match are read."""
     path = _prepared(spark, sf_dir, "station-files", lambda p: write_station_files(daily(spark, sf_dir), p))

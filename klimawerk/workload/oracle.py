@@ -514,3 +514,14 @@ SELECT station_id, dt, {_r('temp')} AS temp, pressure, humidity, {_list(_band(c)
 }
 
 assert PERIODS == ALL_PERIODS[: len(PERIODS)]
+
+# From monthly sums, the rows must be those from daily rows.
+ORACLE |= {
+    "prt_yearly": ORACLE["agg_yearly"],
+    "prt_normals": ORACLE["nrm_all_periods"],
+    "prt_period_table": ORACLE["nrm_period_table"].replace("FROM clean GROUP BY 1, 2)", f"FROM clean WHERE Monat = {MONTH} GROUP BY 1, 2)"),
+    "prt_deviations": ORACLE["dev_all_year"],
+    "prt_temp_month": ORACLE["tile_temp_month"],
+    "prt_precip_year": ORACLE["tile_precip"],
+    "prt_sun_month": ORACLE["tile_sun_month"],
+}
