@@ -112,7 +112,8 @@ def _accumulated(plan: DataFrame, postings: DataFrame, docs: DataFrame, k: int)
         # Bounds fall from place to place and the k-th score only rises, so an item that has stopped stays so.
         known = plan.join(state.select("item", "upto", "kth"), "item", "left").withColumn("upto", F.coalesce("upto", F.lit(0)))
         active = (F.col("upto") == low) & F.col("place").between(low, high - 1) & F.expr("remaining >= coalesce(kth, 1)")
-        known = known.where("place >= upto").withColumn("active", active)
+        # Written, so that its size is known before the postings or the documents' terms would be shuffled for it.
+        known = written(known.where("place >= upto").withColumn("active", active), "item-terms")
         more = postings.join(known.where("active").select("item", "term", "weight"), "term")
         more = more.select("item", "row", (F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
         scores = written(scores.unionByName(more).groupBy("item", "row").agg(F.sum("score").alias("score")), "accumulators")
@@ -155,7 +156,7 @@ def ranked_documents(
     plan = _plan(wanted, postings, total)
     scores, taken = _accumulated(plan, postings, found, k)
     survivors = written(scores, "survivors")
-    rest = plan.join(taken, "item").where("place >= upto").select("item", "term", "weight")
+    rest = written(plan.join(taken, "item").where("place >= upto").select("item", "term", "weight"), "rest-terms")
     whole = survivors.unionByName(_added(survivors, rest, found)).groupBy("item", "row").agg(F.sum("score").alias("score"))
     named = whole.where("score > 0").join(found.select("row", F.col("id").alias("doc_id")), "row")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
