@@ -24,11 +24,11 @@ MONTH, YEAR, RECORD = "einMonat", "alleMonate", "all"
 
 
 class ClimateEngine:
-    def __init__(self, clean_days: DataFrame, stations: DataFrame | None = None, months: DataFrame | None = None):
-        """With ``months``, the monthly partial sums of the days, yearly rows, normals and deviations need no daily rows."""
+    def __init__(self, clean_days: DataFrame, stations: DataFrame | None = None, monthly: DataFrame | None = None):
+        """With ``monthly``, the monthly partial sums of the days, yearly rows, normals and deviations need no daily rows."""
         self.days = clean_days
         self.stations = stations
-        self.months = months
+        self.monthly = monthly
 
     @classmethod
     def from_station_files(
@@ -64,8 +64,8 @@ class ClimateEngine:
 
     def for_station(self, station_id: str = DEFAULT_STATION) -> ClimateEngine:
         """The same engine restricted to one station."""
-        months = None if self.months is None else slices.select_days(self.months, station_id=station_id)
-        return ClimateEngine(slices.select_days(self.days, station_id=station_id), self.stations, months)
+        monthly = None if self.monthly is None else slices.select_days(self.monthly, station_id=station_id)
+        return ClimateEngine(slices.select_days(self.days, station_id=station_id), self.stations, monthly)
 
     # Choices
 
@@ -85,7 +85,7 @@ class ClimateEngine:
         """Daily rows of a month or year, or the yearly rows of the record."""
         _check(mode, year, month)
         if mode == RECORD:
-            return yearly(self.days, month) if self.months is None else partials.yearly(self.months, month)
+            return yearly(self.days, month) if self.monthly is None else partials.yearly(self.monthly, month)
         return slices.select_days(self.days, year=year, month=month if mode == MONTH else None)
 
     def _with_normals(self, mode: str, year: int, month: int | None, period: str | tuple[int, int]) -> DataFrame:
@@ -165,15 +165,15 @@ class ClimateEngine:
     def _deviations(self, mode, year, month, period, metrics) -> DataFrame:
         _check(mode, year, month)
         month = month if mode == MONTH else None
-        if self.months is None:
+        if self.monthly is None:
             return deviation.deviations(self.days, year, period, month, metrics)
-        return deviation.deviations_of_years(partials.year_metrics(self.months, metrics, month), year, period, metrics)
+        return deviation.deviations_of_years(partials.year_metrics(self.monthly, metrics, month), year, period, metrics)
 
     def normals(self, periods: DataFrame, month: int | None = None) -> DataFrame:
         """All normals of a table of periods (Period, first_year, last_year)."""
-        if self.months is None:
+        if self.monthly is None:
             return normals.normals_of_period_table(self.days, periods, month)
-        return normals.period_table_of_years(partials.year_metrics(self.months, normals.METRICS, month), periods)
+        return normals.period_table_of_years(partials.year_metrics(self.monthly, normals.METRICS, month), periods)
 
     # Tables
 
