@@ -1,12 +1,14 @@
 """Operators that SQL can't express, compared with plain Python over the whole small tables."""
 
 import collections
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_fixtures import SMALL, make_docs, no_docs, odd_docs  # noqa: F401
 from klimawerk.llm import language, mixing, simhash, substring, suffixes, tokens, toxicity
@@ -248,19 +250,82 @@ def test_language_of_held_out_documents(spark, docs):
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in unseen]) > 0.95
 
 
-def test_kneser_ney_probabilities_sum_to_one(make_docs):
+def kneser_ney(texts, alphabet):
+    """Plain interpolated Kneser-Ney: probability of a letter after three others, from one language's texts."""
+    streams = []
+    for text in texts:
+        letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        if letters:
+            streams.append("   " + letters + " ")
+    tables = {4: collections.Counter(s[i:i + 4] for s in streams for i in range(len(s) - 3))}
+    for order in (3, 2, 1):
+        tables[order] = collections.Counter(g[1:] for g in tables[order + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        table = tables[len(gram)]
+        n1, n2 = (sum(n == k for n in table.values()) for k in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        same = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(table[gram] - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+    return p
+
+
+LANGUAGE_TEXTS = [
+    (0, "Abab abba, abc!", "en", None), (1, "baab ab 12 cab", "en", None), (2, "abab held out", "en", None),
+    (7, "bb a\u65e5\u672c\u8a9e", "ja", None), (8, "\u65e5\u672c \u672c\u8a9e\u65e5\u672c", "ja", None),
+    (13, "aab b \U00020000\U00020001 b", "ja", None), (9, None, "en", None), (10, "abba", None, None),
+]
+
+
+@pytest.mark.parametrize("head", [0, 60, language.HEAD])
+def test_kneser_ney_equals_brute_force(make_docs, head):
+    """However few grams the head holds, all others come from the tables."""
+    docs = make_docs(LANGUAGE_TEXTS)
+    trained = [t for t in LANGUAGE_TEXTS if t[1] and t[2] and zlib.crc32(str(t[0]).encode()) % 3 != 1]
+    model = language.fit(docs, head=head)
+    alphabet = 1 + sum(chr(c).isalpha() for c in range(0x110000))
+    assert model.names == sorted({t[2] for t in trained}) and len(model.names) == 2
+    assert len(model.head["key"]) * (len(model.names) + 3) <= head
+    by_language = [kneser_ney([t[1] for t in trained if t[2] == name], alphabet) for name in model.names]
+    probes = make_docs([*LANGUAGE_TEXTS, (21, "zebra \u65e5 q", None, None), (22, "...", None, None)])
+    found = language.cross_entropies(probes, model, "text", value=F.col("doc_id"), again=F.col("text")).collect()
+    for r in found:
+        letters = " ".join("".join(c if c.isalpha() else " " for c in (r.again or "").lower()).split())
+        stream = "   " + letters + " "
+        assert r.usable == bool(letters) and r.n == (len(letters) + 1 if letters else 0)
+        for p, bits in zip(by_language, r.bits):
+            expected = -sum(math.log2(p(stream[i:i + 4])) for i in range(len(stream) - 3)) if letters else 0
+            assert bits / language.SCALE == pytest.approx(expected, abs=1e-4)
+    assert len(found) == len(LANGUAGE_TEXTS) + 2
+
+
+def test_kneser_ney_probabilities_sum_to_one(make_docs, spark):
     docs = make_docs([(i, t, "en", None) for i, t in enumerate(["abab abba", "baab ab", "bb a", "aab b"] * 3)], clash=False)
-    tables = language.fit(docs)
-    codes = [1, ord("a"), ord("b")]
-    for context in ((1, 1, 1), (1, ord("a"), ord("b")), (ord("a"), ord("b"), ord("a")), (ord("q"),) * 3):
-        grams = np.array([(((context[0] << 12 | context[1]) << 12 | context[2]) << 12) | c for c in codes])
-        p = language._probability(tables, grams, 4)[:, 0]
-        unseen = language._probability(tables, np.array([grams[0] >> 12 << 12 | ord("z")]), 4)[0, 0]
-        assert p.sum() + unseen * ((1 << 12) - len(codes)) == pytest.approx(1.0)
+    model = language.fit(docs)
+    codes = [1, ord("a"), ord("b"), ord("z")]
+    contexts = [(1, 1, 1), (1, ord("a"), ord("b")), (ord("a"), ord("b"), ord("a")), (ord("q"),) * 3]
+    packed = {(c[0] << 42) | (c[1] << 21) | c[2] for c in contexts}
+    grams = spark.createDataFrame([(c, x) for c in packed for x in codes], "context bigint, letter int")
+    found = {(r.context, r.letter): r.p[0] for r in language.probabilities(grams, model).collect()}
+    for c in packed:
+        seen = sum(found[c, x] for x in codes[:3])
+        assert seen + found[c, ord("z")] * (int(language.letters().sum()) + 1 - 3) == pytest.approx(1.0)
+
+
+def test_language_does_not_depend_on_the_head(spark, docs):
+    table_ = table(spark, SMALL, "documents")
+    few, all_ = (
+        {r.doc_id: r for r in language.identified(table_, language.fit(table_, head=h)).collect()} for h in (700, language.HEAD)
+    )
+    assert few == all_ and len(few) == len(docs)
 
 
 def test_bitmap_of_slots(spark):
-    from pyspark.sql import functions as F
     from klimawerk.llm.storage import slots_bitmap
     from klimawerk.llm.text import in_bitmap
 
