@@ -16,18 +16,18 @@ WITH line AS (
 ),
 normal AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM line),
 part AS (
-  SELECT doc_id, i, low, j, s, low + CAST(length(regexp_extract(line, '^[.!?]*')) + coalesce(sum(length(s)) OVER (
+  SELECT doc_id, i, low, j, s, low + CAST(length(regexp_extract(line, '^[.!?。！？]*')) + coalesce(sum(length(s)) OVER (
            PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS at_
   FROM (SELECT *, unnest(all_s) AS s, generate_subscripts(all_s, 1) AS j
-        FROM (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*') AS all_s FROM normal
-              WHERE len(string_split(norm, ' ')) > 8) WHERE len(all_s) >= 2)
+        FROM (SELECT *, regexp_extract_all(line, '[^.!?。！？]+[.!?。！？]*') AS all_s FROM normal
+              WHERE strlen(norm) > 48) WHERE len(all_s) >= 2)
 ),
 unit AS (
   SELECT doc_id, i, 0 AS j, low AS start_, low + length(line) AS end_, norm FROM normal
-  WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5
+  WHERE norm <> ''
   UNION ALL
   SELECT doc_id, i, j, at_, at_ + length(s), trim(regexp_replace(lower(s), '\s+', ' ', 'g')) FROM part
-  WHERE len(string_split(trim(regexp_replace(lower(s), '\s+', ' ', 'g')), ' ')) >= 8
+  WHERE strlen(trim(regexp_replace(lower(s), '\s+', ' ', 'g'))) >= 48
 ),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i, j) AS n, min(doc_id) OVER (PARTITION BY norm) AS keep_id

@@ -4,8 +4,9 @@ Units are normalised (lower case, single blanks), digested and grouped over the
 of smallest id stays, and of several in that document the first; all others are removed, given with their offsets in the
 original text. Sentences are looked at beside whole lines, so a passage that repeats inside longer lines is found as well.
 
-Lines below ``line_words`` and sentences below ``sentence_words`` words are left alone: by chance they repeat without being
-copies. A line of one sentence is a line only.
+Every line that is not blank is a unit, however short. Sentences inside a line are units from ``sentence_bytes`` bytes of
+normalised UTF-8 on, so texts without blanks count as others do; shorter ones repeat by chance. A line of one sentence is a
+line only.
 
 Defined results: a null or empty text has no units. Rows without id rank last. Rows of one id count as one document: they do
 not remove each other's units. A repeat inside a row is removed. An empty table gives an empty result. Other columns are
@@ -23,34 +24,37 @@ from pyspark.sql import functions as F
 
 from klimawerk.llm.storage import text_key, written
 
-LINE_WORDS, SENTENCE_WORDS = 5, 8
+SENTENCE_BYTES = 48
 LAST_RANK = (1 << 63) - 1
 
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^.!?]+[.!?]*")
+_SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
 
 
-def units(text: str, line_words: int, sentence_words: int):
+def _normal(part: str) -> bytes:
+    return " ".join(part.lower().split()).encode("utf-8")
+
+
+def units(text: str, sentence_bytes: int):
     """(start, end, line, digest) of each unit; ``line`` is where its line starts. Offsets are in code points."""
     for line in _LINE.finditer(text):
-        parts = line.group().lower().split()
-        if not parts:
+        whole = _normal(line.group())
+        if not whole:
             continue
         begin = line.start()
-        if len(parts) >= line_words:
-            yield begin, line.end(), begin, xxhash.xxh3_128_digest(" ".join(parts).encode("utf-8"))
-        if len(parts) <= sentence_words:
+        yield begin, line.end(), begin, xxhash.xxh3_128_digest(whole)
+        if len(whole) <= sentence_bytes:
             continue
         sentences = list(_SENTENCE.finditer(text, begin, line.end()))
         if len(sentences) < 2:
             continue
         for sentence in sentences:
-            parts = sentence.group().lower().split()
-            if len(parts) >= sentence_words:
-                yield sentence.start(), sentence.end(), begin, xxhash.xxh3_128_digest(" ".join(parts).encode("utf-8"))
+            part = _normal(sentence.group())
+            if len(part) >= sentence_bytes:
+                yield sentence.start(), sentence.end(), begin, xxhash.xxh3_128_digest(part)
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, line_words: int, sentence_words: int) -> DataFrame:
+def _units(docs: DataFrame, id_col: str, text_col: str, sentence_bytes: int) -> DataFrame:
     fields = ["doc_id", "text_key", "digest", "start", "end", "line", "again"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
@@ -59,7 +63,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, line_words: int, sentenc
             out: list[list] = [[] for _ in fields]
             for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 seen = set()
-                for start, end, line, digest in units(text or "", line_words, sentence_words):
+                for start, end, line, digest in units(text or "", sentence_bytes):
                     for values, value in zip(out, (doc_id, key, digest, start, end, line, digest in seen)):
                         values.append(value)
                     seen.add(digest)
@@ -77,12 +81,11 @@ def _units(docs: DataFrame, id_col: str, text_col: str, line_words: int, sentenc
 
 
 def repeated_units(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS,
-    sentence_words: int = SENTENCE_WORDS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentence_bytes: int = SENTENCE_BYTES
 ) -> DataFrame:
     """A row for each removed unit: doc_id, text_key, start, end, line, keep_id (the document whose occurrence stays)."""
     # Cut twice rather than kept: the units of a corpus take more room than its texts.
-    found = _units(docs, id_col, text_col, line_words, sentence_words)
+    found = _units(docs, id_col, text_col, sentence_bytes)
     rank = F.coalesce("doc_id", F.lit(LAST_RANK))
     # Minima and counts are combined before the exchange, whatever the number of occurrences.
     repeated = written(

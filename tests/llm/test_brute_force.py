@@ -30,7 +30,7 @@ def rows(spark, name):
 def test_substring_dedup(spark, docs):
     first, expected = {}, []
     for doc_id in sorted(docs):
-        for start, end, line, digest in substring.units(docs[doc_id].text, substring.LINE_WORDS, substring.SENTENCE_WORDS):
+        for start, end, line, digest in substring.units(docs[doc_id].text, substring.SENTENCE_BYTES):
             if digest in first:
                 expected.append((doc_id, start, end, first[digest], line))
             first.setdefault(digest, doc_id)
@@ -53,6 +53,20 @@ def test_substring_removal_keeps_the_rest(make_docs):
     assert out == {1: f"{line}\nmore", 2: "new\n\nend", 3: None}
 
 
+@pytest.mark.parametrize("line", ["all rights reserved.", "x", "\u6240\u6709\u6743\u5229\u5747\u4e88\u4fdd\u7559\u4e0d\u5f97\u590d\u5236"])
+def test_short_lines_and_lines_without_blanks(make_docs, line):
+    docs = make_docs([(i, f"document number {i}\n{line}\n", None, None) for i in range(20)])
+    found = substring.repeated_units(docs).collect()
+    assert sorted(r.doc_id for r in found) == list(range(1, 20)) and {r.end - r.start for r in found} == {len(line)}
+
+
+def test_sentences_of_texts_without_blanks(make_docs):
+    same = "\u6240\u6709\u6743\u5229\u5747\u4e88\u4fdd\u7559\u4e0d\u5f97\u590d\u5236\u6216\u518d\u53d1\u8868\u3002"
+    docs = make_docs([(i, chr(0x4E00 + i) * 20 + "\u3002" + same, None, None) for i in range(5)])
+    found = substring.repeated_units(docs).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in found) == [(i, 21, 21 + len(same)) for i in range(1, 5)]
+
+
 def test_suffix_spans_cover_all_repeats(spark, docs):
     n, head = suffixes.MIN_WORDS, suffixes.MIN_WORDS - suffixes.WINDOW + 1
     words = {i: WORD.findall(r.text) for i, r in docs.items()}
