@@ -48,7 +48,7 @@ WITH n AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept,
+       row_number() OVER w = 1 AS kept,
        text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id ASC NULLS LAST)
 """

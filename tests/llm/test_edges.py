@@ -6,6 +6,7 @@ import pytest
 
 from llm_fixtures import make_docs, no_docs, odd_docs  # noqa: F401
 from klimawerk.llm import archives, exact, language, mixing, simhash, substring, suffixes, tokens, toxicity, winnowing
+from klimawerk.session import fresh_folder
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -67,6 +68,7 @@ def test_exact(odd_docs, no_docs):
     # Of six equal texts the one with a blank more is longest; of the blank ones, that of three characters.
     assert (by_id[1].keep_id, by_id[1].group_size, by_id[1].kept) == (2, 5, False)
     assert (by_id[3].keep_id, by_id[3].group_size, by_id[3].text_sha256) == (5, 4, EMPTY)
+    assert sum(r.kept for r in found) == len({r.text_sha256 for r in found})
     kept = exact.without_duplicates(odd_docs)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 7, 8, 1 << 62]
     assert kept.columns == odd_docs.columns
@@ -86,9 +88,41 @@ def test_exact_index_takes_batches(make_docs, spark):
     second = index.ingest(make_docs([(0, "on e  ", None, None), (5, "five", None, None)])).collect()
     assert {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in second} == {0: (3, False, 3), 5: (5, True, 1)}
     assert index.rows().count() == 3
-    assert exact.DigestIndex(spark, index.name, 4).rows().count() == 3
+    assert exact.DigestIndex(spark, index.path, 4).rows().count() == 3
     plan = index.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan  # rows are bucketed by digest
+    index.compact()
+    assert index.rows().count() == 3 and len(index.rows().inputFiles()) <= 4
+    assert exact.DigestIndex(spark, index.path).buckets == 4
+    again = index.ingest(make_docs([(6, "o n e", None, None), (7, "six", None, None)])).collect()
+    assert {r.doc_id: (r.keep_id, r.kept) for r in again} == {6: (3, False), 7: (7, True)}
+
+
+def test_exact_index_of_another_application(make_docs, spark):
+    """A session whose catalog does not know the index takes it up by its folder and loses no row."""
+    path = fresh_folder(spark, "test-index")
+    first = exact.DigestIndex(spark, path, 4)
+    first.ingest(make_docs([(1, "one", None, None), (2, "two", None, None)])).collect()
+    first.close()
+    assert not spark.catalog.tableExists(first.name)
+    second = exact.DigestIndex(spark.newSession(), path)
+    found = second.ingest(make_docs([(8, "o ne", None, None), (9, "nine", None, None)])).collect()
+    assert {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in found} == {8: (1, False, 2), 9: (9, True, 1)}
+    assert {r.keep_id for r in second.rows().collect()} == {1, 2, 9}
+
+
+def test_exact_keeps_one_row_of_an_id(make_docs):
+    rows = [(7, "a b", None, None), (7, "ab", None, None), (None, "c", None, None), (None, "c", None, None), (7, "a b", None, None)]
+    found = exact.exact_duplicates(make_docs(rows)).collect()
+    assert sorted((r.doc_id or 0, r.group_size) for r in found if r.kept) == [(0, 2), (7, 3)]
+    assert sorted(r.text for r in exact.without_duplicates(make_docs(rows)).collect()) == ["a b", "c"]
+
+
+def test_exact_leaves_no_table_in_the_catalog(make_docs, spark):
+    exact.exact_duplicates(make_docs([(1, "a", None, None)])).collect()
+    before = {t.name for t in spark.catalog.listTables()}
+    exact.without_duplicates(make_docs([(1, "a", None, None)])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_mixing(odd_docs, no_docs):
