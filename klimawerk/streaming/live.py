@@ -72,10 +72,27 @@ def read_landed_stream(spark: SparkSession, folder: str, files_per_batch: int |
     return reader.json(folder)
 
 
-def write_normalised(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append every observation to a Parquet table, each exactly once, then stop when no input is left."""
+def without_redelivered(observations: DataFrame, within: str) -> DataFrame:
+    """Each observation of a stream once, however often its payload arrives within that time of the newest one.
+
+    The state holds the observations of that time only. An observation that comes later than that is dropped, as it can't be told
+    from one seen before. Rows without a time are kept as they come.
+    """
+    timed = observations.filter(F.col("dt").isNotNull()).withColumn("observed_at", F.timestamp_seconds("dt"))
+    once = timed.withWatermark("observed_at", within).dropDuplicatesWithinWatermark(observations.columns).drop("observed_at")
+    return once.unionByName(observations.filter(F.col("dt").isNull()))
+
+
+def write_normalised(stream: DataFrame, table: str, checkpoint: str, redelivered_within: str | None = None) -> StreamingQuery:
+    """Append every observation to a Parquet table, each row exactly once, then stop when no input is left.
+
+    Payloads that the source delivers again are rows of their own unless ``redelivered_within`` names a time.
+    """
+    observations = normalise(stream)
+    if redelivered_within:
+        observations = without_redelivered(observations, redelivered_within)
     return (
-        normalise(stream)
+        observations
         .writeStream.format("parquet")
         .option("path", table)
         .option("checkpointLocation", checkpoint)

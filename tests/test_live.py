@@ -94,3 +94,17 @@ def test_restart_does_not_repeat_observations(spark, landed):
     for _ in range(2):
         live.write_normalised(live.read_landed_stream(spark, folder), table, checkpoint).awaitTermination()
     assert spark.read.parquet(table).count() == landed.count()
+
+
+def test_redelivered_payloads_are_appended_once(spark, landed):
+    folder, table, checkpoint = (fresh_folder(spark, n) for n in ("test-landed", "test-table", "test-checkpoint"))
+    valid = landed.filter("payload like '%dt%'")
+    for _ in range(2):
+        valid.coalesce(1).write.mode("append").json(folder)
+    live.write_normalised(live.read_landed_stream(spark, folder, 1), table, checkpoint, "365 days").awaitTermination()
+    # Delivered again to a later run, beside a new observation and a payload without time.
+    later = spark.createDataFrame([("0002", payload(1717250000)), ("0002", "not json")], live.LANDED)
+    valid.unionByName(later).coalesce(1).write.mode("append").json(folder)
+    live.write_normalised(live.read_landed_stream(spark, folder, 1), table, checkpoint, "365 days").awaitTermination()
+    expected = live.normalise(valid.unionByName(later)).collect()
+    assert sorted(map(str, spark.read.parquet(table).collect())) == sorted(map(str, expected))
