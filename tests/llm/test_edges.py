@@ -190,6 +190,39 @@ def test_archives(spark):
     assert archives.archived(pages.limit(0)).count() == 0
 
 
+def test_converted_archives_name_their_version_block_and_open_at_any_record(spark):
+    import gzip
+    import zlib
+
+    # Names that the operator uses inside.
+    pages = spark.range(40).selectExpr(
+        "id AS page_id", "'http://a' AS url", "repeat('p', int(id)) AS html", "'clash' AS archive", "1 AS number", "'clash' AS path",
+        "2 AS least", "'clash' AS digest", "'clash' AS revisits",
+    ).repartition(3)
+    folder = archives.convert(spark, archives.write_arc(pages))
+    paths = [r.path for r in archives._archives(spark, folder).collect()]
+    assert paths and all(p.endswith(".warc.gz") for p in paths)
+    n = 0
+    for path in paths:
+        system, at = archives._place(path)
+        data, kinds = system.open_input_stream(at, compression=None).read(), []
+        while data:  # every gzip member is one whole record
+            member = zlib.decompressobj(31)
+            (header, block), = archives.read_warc(gzip.io.BytesIO(member.decompress(data) + member.flush()))
+            kinds.append(header["warc-type"])
+            if kinds[-1] == "warcinfo":
+                info = header["warc-record-id"]
+                version = archives.http_field(block, "arc-version")
+                assert f" {version} 0 generator\r\n {' '.join(archives.ARC_FIELDS[version])}\r\n".encode() in block
+            else:
+                assert header["warc-warcinfo-id"] == info
+            data = member.unused_data
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        n += len(kinds) - 1
+    assert n == 40
+    assert archives.warc_records(spark, folder).count() == 40
+
+
 def test_arc_versions_and_faults():
     import io
 
