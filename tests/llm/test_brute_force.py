@@ -156,28 +156,83 @@ def test_mixing_meets_its_targets(spark, docs):
     for r in found:
         by_source[r.source].append(r)
     ordered = sorted(by_source)
-    expected = mixing.targets([sum(r["size"] for r in by_source[s]) for s in ordered])
+    expected = _targets([sum(r["size"] for r in by_source[s]) for s in ordered])
     assert sum(expected) == pytest.approx(sum(r["size"] for r in found))
     for source, target in zip(ordered, expected):
         group = by_source[source]
-        assert all(r.target == target and r.source_size == sum(x["size"] for x in group) for r in group)
+        assert all(r.target == pytest.approx(target) and r.source_size == sum(x["size"] for x in group) for r in group)
         assert sum(r.taken for r in group) == pytest.approx(target, abs=mixing.BLOCK_WORDS)
     again = rows(spark, "op6_mixing")
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
 
-def test_targets_share_the_excess():
-    assert mixing.targets([10, 1000, 0]) == [30.0, 980.0, 0.0]
-    assert mixing.targets([]) == []
-    assert mixing.targets([100, 100]) == pytest.approx([200 / 3, 400 / 3])
+def _targets(sizes):
+    """The level at which all limited shares add up to the whole, found by halving."""
+    low, high = 0.0, float(sum(sizes)) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(level * (i % 3 + 1), 3 * size) for i, size in enumerate(sizes)) < sum(sizes):
+            low = level
+        else:
+            high = level
+    return [min(high * (i % 3 + 1), 3 * size) for i, size in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [10, 1000, 0], [100, 100], [1, 10, 100, 1000, 10_000, 7, 7, 7, 100_000, 3]])
+def test_targets_share_the_excess(spark, sizes):
+    given = spark.createDataFrame([(f"s{i:03d}", n) for i, n in enumerate(sizes)], "source string, size bigint")
+    found = sorted(mixing.targets(given).collect())
+    assert [(r.number, r.source, r.size) for r in found] == [(i, f"s{i:03d}", n) for i, n in enumerate(sizes)]
+    assert [r.target for r in found] == pytest.approx(_targets(sizes))
+
+
+def test_sources_are_ordered_by_code_point_and_null_is_last(spark):
+    names = ["Z", "a", "", "\uffff", "\U0001F600", None, "é"]
+    given = spark.createDataFrame([(n, 1) for n in names], "source string, size bigint")
+    found = [r.source for r in mixing.targets(given).orderBy("number").collect()]
+    assert found == [*sorted(n for n in names if n is not None), None]
+
+
+def test_more_sources_than_a_driver_would_list(spark):
+    n = 200_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('s', id) AS source", "repeat('w ', 1 + int(id % 3)) AS text")
+    found = mixing.mixture(docs, block_words=1).selectExpr("sum(taken) AS taken", "sum(target) AS target", "count(*) AS n").first()
+    assert found.n == n
+    assert found.target == pytest.approx(2 * n, rel=1e-4) and found.taken == pytest.approx(2 * n, rel=0.25)
 
 
 def test_permutations_hit_every_block_once():
     for n in (1, 2, 3, 100, 1025):
         out = mixing.permuted(np.arange(n), n, np.full(n, 7, dtype=np.uint64))
         assert sorted(out) == list(range(n))
-    dealt = [mixing._dealt(1000, 7, s, s + 1, [1, 2]) for s in range(7)]
-    assert dealt[0][0] == 0 and dealt[-1][1] == 1000 and all(a[1] == b[0] for a, b in zip(dealt, dealt[1:]))
+    # Each index by its own size.
+    n = np.array([1, 2, 2, 70_000, 3, 3, 3])
+    out = mixing.permuted(np.array([0, 0, 1, 69_999, 0, 1, 2]), n, np.full(7, 7, dtype=np.uint64))
+    assert sorted(out[1:3]) == [0, 1] and sorted(out[4:]) == [0, 1, 2] and 0 <= out[3] < 70_000
+
+
+def test_shards_have_one_length_and_multinomial_source_counts(spark):
+    plan = [(0, 500, 1500, 0), (1, 40_000, 40_000, 1500), (2, 7, 0, 41_500), (3, 9000, 20_500, 41_500)]
+    sources = spark.createDataFrame(plan, "number bigint, blocks bigint, slots bigint, start bigint")
+    slots = mixing.drawn_slots(sources, seed=3, shard_slots=1000).collect()
+    by_shard = collections.defaultdict(list)
+    for r in slots:
+        by_shard[r.shard].append(r)
+    assert sorted(by_shard) == list(range(62))
+    assert all(sorted(r.position for r in group) == list(range(1000)) for group in by_shard.values())
+    for number, blocks, n, _ in plan:
+        own = [r for r in slots if r.number == number]
+        assert sorted(r.draw for r in own) == list(range(n))
+        for turn in range(-(-n // blocks)):  # no block twice in a pass
+            drawn = [r.block for r in own if r.draw // blocks == turn]
+            assert len(set(drawn)) == len(drawn) and all(0 <= b < blocks for b in drawn)
+        # Counts of a shard scatter as draws do: the variance of each is n p (1 - p), times what the fixed totals leave.
+        p = n / 62_000
+        counts = np.array([sum(r.number == number for r in group) for group in by_shard.values()])
+        assert counts.mean() == pytest.approx(1000 * p)
+        if n:
+            assert 0.5 < counts.var() / (1000 * p * (1 - p)) < 1.7
+    assert [tuple(r) for r in sorted(slots)] == [tuple(r) for r in sorted(mixing.drawn_slots(sources, 3, 1000).collect())]
 
 
 def test_mixed_blocks_hold_the_words(make_docs):
@@ -189,6 +244,16 @@ def test_mixed_blocks_hold_the_words(make_docs):
     assert {i: n for i, n in taken.items() if n} == dict(counted)
 
 
+def test_mix_follows_the_order_of_its_documents_by_content(make_docs):
+    """Equal ids, and none: the layout of the table must not show in the mix."""
+    rows = [(None if i % 3 else 7, f"w{i} " * (i % 5 + 1), None, "ab"[i % 2]) for i in range(60)]
+    first, again = (
+        sorted(map(tuple, mixing.mixed_blocks(make_docs(r, clash=False).repartition(n), block_words=4).drop("doc_ids").collect()))
+        for r, n in ((rows, 2), (rows[::-1], 5))
+    )
+    assert first and first == again
+
+
 def _fingerprint(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     words = WORD.findall(lowered)
