@@ -117,6 +117,13 @@ def src_stations_geojson(spark, sf_dir):
     return geojson.station_points(geojson.read_feature_collections(spark, folder, multiline=False))
 
 
+@query
+def src_stations_large_geojson(spark, sf_dir):
+    folder = fresh_folder(spark, "large-points")
+    inputs.large_point_documents(spark, sf_dir).write.text(folder)
+    return geojson.station_points(geojson.read_large_collections(spark, folder))
+
+
 @query
 def snk_roundtrip(spark, sf_dir):
     table = tables.averaged_table(inputs.cleaned(spark, sf_dir))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,6 +172,21 @@ def point_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(features)
 
 
+def large_point_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same points as the lines of large documents: each task's points are one collection."""
+    def bound(batches):
+        yield pa.RecordBatch.from_pydict({"line": ['{"type": "FeatureCollection", "crs": {"type": "name"}, "features": [']})
+        separator = ""
+        for batch in batches:
+            features = [f.removesuffix("]}").split('"features":[', 1)[1] for f in batch.column(0).to_pylist()]
+            if features:
+                yield pa.RecordBatch.from_pydict({"line": [separator + features[0], *(f",{f}" for f in features[1:])]})
+                separator = ","
+        yield pa.RecordBatch.from_pydict({"line": ["]}"]})
+
+    return point_documents(spark, sf_dir).mapInArrow(bound, "line string")
+
+
 def outline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as a unit square of a grid one thousand wide, half of them written as multipolygons."""
     x, y = F.col("c_custkey") % 1000, F.expr("c_custkey div 1000")

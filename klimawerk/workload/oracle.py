@@ -283,6 +283,10 @@ FROM (SELECT station_id, count(*) AS n_file_rows FROM raw GROUP BY 1)
     "src_stations_geojson": f"""
 SELECT c_name AS name, printf('%04d', c_custkey) AS number, CAST(c_custkey % 2962 AS DOUBLE) AS height,
   {_r('(c_custkey % 3600) / 10 - 180')} AS lon, {_r('(c_custkey % 1701) / 10 - 85')} AS lat
+FROM customer""",
+    "src_stations_large_geojson": f"""
+SELECT c_name AS name, printf('%04d', c_custkey) AS number, CAST(c_custkey % 2962 AS DOUBLE) AS height,
+  {_r('(c_custkey % 3600) / 10 - 180')} AS lon, {_r('(c_custkey % 1701) / 10 - 85')} AS lat
 FROM customer""",
     "snk_roundtrip": AVERAGED_YEAR,
     "set_union_stations": RAW + f"SELECT station_id, Date, {_MEASURES_6} FROM days",

@@ -1,11 +1,16 @@
 from datetime import date
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from oracle_check import connect
 from klimawerk.operators import layers, search, slices
 from klimawerk.operators.reshape import temperatures_long
 from klimawerk.operators.tables import averaged_table, daily_table
+from klimawerk.workload.catalog import QUERIES
+from klimawerk.workload.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +102,20 @@ def test_table_layouts(spark):
     assert daily_table(clean).columns[-1] == "Temperaturspanne"
     spells = averaged_table(clean).filter("Maximale_Trockenperiode + Maximale_Regenperiode > 366")
     assert spells.count() == 0
+
+
+def test_sorted_output_is_read_back_in_order_over_several_files(spark, tmp_path):
+    folder = str(tmp_path / "sorted")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        QUERIES["srt_yearly"](spark, SMALL).write.parquet(folder)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = sorted(str(f) for f in (tmp_path / "sorted").glob("part-*.parquet"))
+    assert len(files) > 1
+    found = [row for f in files for row in zip(*pq.read_table(f, columns=["Jahr", "station_id"]).to_pydict().values())]
+    expected = connect(SMALL).sql(
+        f"SELECT Jahr, station_id FROM ({ORACLE['srt_yearly']}) ORDER BY Jahr NULLS LAST, station_id NULLS LAST"
+    ).fetchall()
+    assert found == expected

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -135,3 +137,36 @@ def test_loaded_counts(spark):
     assert counts == {"0001": (2, 2), "0002": (0, 1)}
     assert tuple(station_files.loaded_total(kept).first()) == (1, 2)
     assert tuple(station_files.loaded_total(kept.limit(0)).first()) == (0, 0)
+
+
+def test_one_large_document_is_read_by_several_tasks(spark, tmp_path):
+    """Braces, quotes and backslashes in names, objects that are no features, and any layout, cut anywhere."""
+    names = ["plain", 'a "quoted" } name', "brace { only", "back\\", 'back\\"', "{}{}}}", "größer 日本", "", '\\\\"}', "line\nbreak"]
+    features = [
+        {
+            "type": "Feature", "properties": {"name": names[i % len(names)] + str(i), "number": f"{i:04d}", "height": i / 2, "more": {"a": {"b": i}}},
+            "geometry": {"type": "Point", "coordinates": [i / 10, -i / 10]},
+        }
+        for i in range(3000)
+    ]
+    document = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": features, "tail": {"type": "x"}}
+    paths = [str(tmp_path / f"{i}.geojson") for i in range(3)]
+    for path, indent in zip(paths, (None, 2, 7)):
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump(document, out, indent=indent, ensure_ascii=indent is None)
+    expected = sorted((f["properties"]["name"], f["properties"]["number"], f["properties"]["height"], *f["geometry"]["coordinates"]) for f in features)
+    set_ = {"spark.sql.files.maxPartitionBytes": "10001", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        for path in paths:
+            read = geojson.read_large_collections(spark, path)
+            assert sorted(map(tuple, geojson.station_points(read).collect())) == expected
+            assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    small = geojson.station_points(geojson.read_large_collections(spark, str(FIXTURES / "stations.geojson")))
+    plain = geojson.station_points(geojson.read_feature_collections(spark, str(FIXTURES / "stations.geojson")))
+    assert sorted(map(str, small.collect())) == sorted(map(str, plain.collect()))
