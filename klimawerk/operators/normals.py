@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ SUM_METRICS = [
 ]
 METRICS = MEAN_METRICS + SUM_METRICS
 
+ROWS_PER_TASK = 1 << 20
+"""Result rows of a table of periods that one task makes."""
+
 
 def metric_of_year(metric: str) -> Column:
     """First level: the mean or, for amounts and day counts, the sum of one year."""
@@ -80,20 +85,26 @@ def periods_of_years(per_year: DataFrame, periods: list[str | tuple[int, int]] |
     )
 
 
-def normals_of_period_table(clean: DataFrame, periods: DataFrame, month: int | None = None) -> DataFrame:
+def normals_of_period_table(
+    clean: DataFrame, periods: DataFrame, month: int | None = None, finish: Callable[[DataFrame], DataFrame] = lambda values: values
+) -> DataFrame:
     """All normals of a table of periods (Period, first_year, last_year), of any number and overlap.
 
     Yearly values become running sums and counts per station, so a period is the difference of two years' rows, which both are
     found by equality: every station has a row for each year of the record as a whole. The work grows with the daily rows once and
     with the result, not with the years in the periods. Sums are exact decimals, so the result is that of summing each period.
     A station without data in a period has no row for it, and so has a period whose bounds are NULL or the wrong way round.
+
+    ``finish`` is applied to the normals of each pair of bounds, before they are repeated for every period of these years.
     """
-    return period_table_of_years(year_metrics(clean, month=month), periods)
+    return period_table_of_years(year_metrics(clean, month=month), periods, finish)
 
 
-def period_table_of_years(yearly: DataFrame, periods: DataFrame) -> DataFrame:
+def period_table_of_years(
+    yearly: DataFrame, periods: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda values: values
+) -> DataFrame:
     """Second level of ``normals_of_period_table``."""
-    span = yearly.agg(F.min("Jahr").alias("low"), F.max("Jahr").alias("high")).first()
+    span = yearly.agg(F.min("Jahr").alias("low"), F.max("Jahr").alias("high"), F.count_distinct("station_id").alias("stations")).first()
     low, high = (span["low"], span["high"]) if span["low"] is not None else (0, -1)
     counted = yearly.select(
         "station_id", "Jahr", F.lit(1).cast("bigint").alias("n"),
@@ -111,10 +122,17 @@ def period_table_of_years(yearly: DataFrame, periods: DataFrame) -> DataFrame:
     ).where("first_year <= last_year")
     end = running.select("station_id", F.col("Jahr").alias("last_year"), *[F.col(c).alias(f"end_{c}") for c in names])
     before = running.withColumn("first_year", F.col("Jahr") + 1).drop("Jahr")
-    both = inside.join(end, "last_year").join(before, ["station_id", "first_year"]).where(F.col("end_n") > F.col("n"))
-    return both.select("station_id", "Period", *[
+    # Periods of the same years have the same normals, so these are made once for each pair of bounds and only then repeated by name.
+    bounds = ["first_year", "last_year"]
+    both = inside.select(*bounds).distinct().join(end, "last_year").join(before, ["station_id", "first_year"]).where(F.col("end_n") > F.col("n"))
+    values = both.select("station_id", *bounds, *[
         F.expr(settled(f"CAST(end_{m} - {m} AS DOUBLE) / nullif(end_n_{m} - n_{m}, 0)")).alias(m) for m in METRICS
     ])
+    # The result may be far larger than what is joined, so the number of tasks follows from its rows, not from the bytes that AQE sees.
+    # Either side of the join may be the one that is broadcast, so both are dealt out.
+    tasks = max(1, -(-inside.count() * span["stations"] // ROWS_PER_TASK))
+    values = finish(values).repartition(tasks, "station_id", *bounds)
+    return values.join(inside.repartition(tasks), bounds).select("station_id", "Period", *METRICS)
 
 
 def daily_normals(clean: DataFrame, period: str | tuple[int, int], divisor: int = NORMAL_DIVISOR) -> DataFrame:

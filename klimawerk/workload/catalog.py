@@ -45,19 +45,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def rounded(result: DataFrame) -> DataFrame:
+    """Doubles are compared to six decimals."""
+    return result.withColumns({name: nearest(f"`{name}`", 6) for name, kind in result.dtypes if kind == "double"})
+
+
 def query(fn: Query) -> Query:
-    """Register a query; its doubles are compared to six decimals."""
+    """Register a query and round its result."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = fn(spark, sf_dir)
-        return result.withColumns({
-            name: nearest(f"`{name}`", 6) for name, kind in result.dtypes if kind == "double"
-        })
+        return rounded(fn(spark, sf_dir))
 
     run.__doc__ = fn.__doc__
     QUERIES[fn.__name__] = run
     return fn
 
 
+def query_rounding(fn: Query) -> Query:
+    """Register a query that rounds by itself, where rows are repeated after that."""
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
 # Sources and sinks
 
 
@@ -286,9 +294,9 @@ def nrm_all_periods(spark, sf_dir):
     return normals.normals_of_periods(inputs.cleaned(spark, sf_dir), ALL_PERIODS)
 
 
-@query
+@query_rounding
 def nrm_period_table(spark, sf_dir):
-    return normals.normals_of_period_table(inputs.cleaned(spark, sf_dir), inputs.periods(spark, sf_dir))
+    return normals.normals_of_period_table(inputs.cleaned(spark, sf_dir), inputs.periods(spark, sf_dir), finish=rounded)
 
 
 @query
@@ -418,10 +426,10 @@ def prt_normals(spark, sf_dir):
     return normals.periods_of_years(partials.year_metrics(inputs.months(spark, sf_dir), normals.METRICS), ALL_PERIODS)
 
 
-@query
+@query_rounding
 def prt_period_table(spark, sf_dir):
     per_year = partials.year_metrics(inputs.months(spark, sf_dir), normals.METRICS, month=MONTH)
-    return normals.period_table_of_years(per_year, inputs.periods(spark, sf_dir))
+    return normals.period_table_of_years(per_year, inputs.periods(spark, sf_dir), finish=rounded)
 
 
 @query

@@ -112,3 +112,19 @@ def test_table_of_a_thousand_periods(spark, raw_days):
 def test_table_of_periods_without_rows(spark, raw_days):
     periods = spark.createDataFrame([("a", 1990, 1999)], "Period string, first_year int, last_year int")
     assert normals.normals_of_period_table(cleaning.clean(raw_days([])), periods).collect() == []
+
+
+def test_periods_of_equal_years_are_worked_out_once_and_their_rows_spread_over_tasks(spark, raw_days, monkeypatch):
+    monkeypatch.setattr(normals, "ROWS_PER_TASK", 50)
+    days = cleaning.clean(raw_days([(f"{s:04d}", f"2000-{m:02d}-10", {"TMK": s + m / 7}) for s in range(1, 5) for m in range(1, 13)]))
+    periods = spark.createDataFrame([(f"p{i}", 1990 + i % 3, 2005) for i in range(200)], "Period string, first_year int, last_year int")
+    finished = []
+
+    def finish(values):
+        finished.append(values.count())
+        return values
+
+    found = normals.normals_of_period_table(days, periods, finish=finish)
+    assert finished == [4]  # all bounds are one pair within the record
+    assert found.count() == 4 * 200 and found.select("station_id", "Period").distinct().count() == 4 * 200
+    assert found.rdd.getNumPartitions() == 4 * 200 // 50
