@@ -7,10 +7,9 @@ with one number per language. The ``HEAD`` most frequent grams are also held in
 not grow with the corpus, and looked up there by binary search; every other gram of a document is joined to the tables by a
 shuffle, so none is left out. A text gets the language of least cross-entropy per letter.
 
-The score is the language's share in a softmax of the negative cross-entropies, its sharpness fitted on about ``SAMPLE_DOCS``
-training texts (never more than twice as many); from the same sample each language gets the cross-entropy that hardly any of
-its own texts exceeds, beyond which a text is marked rejected. Bits are whole multiples of 2^-20, so sums do not depend on
-the order of rows.
+The score is the language's share in a softmax of the negative cross-entropies, its sharpness fitted on all training texts;
+from all of them each language also gets the cross-entropy that hardly any of its own texts exceeds, beyond which a text is
+marked rejected. Bits are whole multiples of 2^-20 and losses of 10^-9, so sums do not depend on the order of rows.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, rejected. Without training texts every text is.
 A null label teaches nothing. A null id counts as held out. Of equal cross-entropies the first language in code-point order
@@ -33,8 +32,10 @@ from klimawerk.llm.text import chunks, mix
 ORDER, BITS = 4, 21
 HEAD = 1 << 21
 """Numbers in the array of frequent grams: for each gram its hash, context and letter, and one number per language."""
-SAMPLE_DOCS = 4_000
 OWN_SHARE = 0.999
+SHARPNESSES = [2.0 ** (i / 2) for i in range(-4, 14)]
+FINE = 10
+"""Steps of a cross-entropy, of 1 / SCALE, are counted by 2^FINE at first."""
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 SCALE = 1 << 20
@@ -290,42 +291,108 @@ def cross_entropies(docs: DataFrame, model: Model, text_col: str, **kept: Column
     return measured.select("row", *kept, "usable", "n", "head").join(others, "row", "left").select(*kept, "usable", "n", total.alias("bits"))
 
 
-def _calibrate(entropy: np.ndarray, label: np.ndarray, n: int) -> tuple[float, list[float]]:
-    """Sharpness of the softmax, and for each of ``n`` languages the cross-entropy that few of its own texts exceed."""
-    best, sharpness = np.inf, 1.0
-    for candidate in 2.0 ** np.arange(-2, 7, 0.5):
-        z = -candidate * (entropy - entropy.min(axis=1, keepdims=True))
-        own = z[np.arange(len(label)), label] - np.log(np.exp(z).sum(axis=1))
-        loss = -own.mean() if len(label) else 0.0
-        if loss < best - 1e-9:
-            best, sharpness = loss, float(candidate)
-    own = entropy[np.arange(len(label)), label]
-    limits = [float(np.quantile(own[label == j], OWN_SHARE)) if (label == j).any() else float("inf") for j in range(n)]
-    return sharpness, limits
-
-
-def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD,
-    sample_docs: int = SAMPLE_DOCS,
-) -> Model:
-    """Models of all languages among the labelled documents that are not held out."""
-    training = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+def _sharpness(measured: DataFrame, own: Column) -> float:
+    """That of the softmax with the least loss over all given rows."""
+    least = F.array_min("bits")
+
+    def loss(sharpness: float) -> Column:
+        scale = F.lit(sharpness / SCALE)
+        total = F.aggregate(F.transform("bits", lambda b: F.exp((least - b) / F.col("n") * scale)), F.lit(0.0), lambda x, y: x + y)
+        return F.round(((own - least) / F.col("n") * scale + F.log(total)) * 1e9).cast("decimal(20,0)")
+
+    row = measured.agg(F.count("*").alias("rows"), *[F.sum(loss(c)).alias(str(i)) for i, c in enumerate(SHARPNESSES)]).first()
+    best, sharpness = float("inf"), 1.0
+    for i, candidate in enumerate(SHARPNESSES):
+        mean = float(row[str(i)]) / 1e9 / row["rows"] if row["rows"] else 0.0
+        if mean < best - 1e-9:
+            best, sharpness = mean, candidate
+    return sharpness
+
+
+def _limits(measured: DataFrame, own: Column, names: list[str]) -> list[float]:
+    """For each language the ``OWN_SHARE`` quantile of its own texts' cross-entropies, infinite without texts.
+
+    Texts are counted by coarse steps, then by fine ones inside the coarse steps that hold the ranks sought, so the driver gets
+    counts of a bounded number of steps.
+    """
+    steps = measured.select("lang", F.ceil(own / F.col("n")).cast("bigint").alias("step")).withColumn("coarse", F.shiftright("step", FINE))
+    counts = steps.groupBy("lang", "coarse").agg(F.count("*").alias("n")).collect()
+    sought: dict[str, list[tuple[int, int]]] = {}
+    share = {}
+    for name in names:
+        mine = sorted((r["coarse"], r["n"]) for r in counts if r["lang"] == name)
+        texts = sum(n for _, n in mine)
+        if texts:
+            low = int((texts - 1) * OWN_SHARE)
+            share[name] = (texts - 1) * OWN_SHARE - low
+            sought[name] = [_holding(mine, rank) for rank in (low, min(low + 1, texts - 1))]
+    if not sought:
+        return [float("inf")] * len(names)
+    inside = F.lit(False)
+    for name, places in sought.items():
+        inside |= (F.col("lang") == name) & F.col("coarse").isin([at for at, _ in places])
+    fine = steps.where(inside).groupBy("lang", "coarse", "step").agg(F.count("*").alias("n")).collect()
+    limits = []
+    for name in names:
+        below, above = (
+            _holding(sorted((r["step"], r["n"]) for r in fine if r["lang"] == name and r["coarse"] == at), rank)[0]
+            for at, rank in sought[name]
+        ) if name in sought else (float("inf"), float("inf"))
+        limits.append((below + share[name] * (above - below)) / SCALE if name in sought else float("inf"))
+    return limits
+
+
+def _holding(counts: list[tuple[int, int]], rank: int) -> tuple[int, int]:
+    """The value that holds a rank, and the rank among its rows."""
+    for value, n in counts:
+        if rank < n:
+            return value, rank
+        rank -= n
+    raise ValueError("rank beyond the counts")
+
+
+def _calibrated(model: Model, measured: DataFrame) -> Model:
+    """With sharpness and limits from all usable rows of ``measured(lang, usable, n, bits)``."""
+    measured = measured.where("usable")
+    own = F.element_at("bits", F.array_position(F.array(*[F.lit(name) for name in model.names]), F.col("lang")).cast("int"))
+    return model._replace(sharpness=_sharpness(measured, own), limits=_limits(measured, own, model.names))
+
+
+def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+
+
+def _counted(training: DataFrame, text_col: str, lang_col: str, head: int) -> Model:
+    """Model without calibration."""
     levels = _levels(gram_counts(training, text_col, lang_col))
     names = sorted(r["lang"] for r in levels.where("level = 1").select("lang").distinct().collect())  # languages
     shares, weights = _shares_and_weights(levels, names)
     first = weights.where("level = 1").first()
     model = Model(names, shares, weights, list(first["weight"]) if first else [], {}, 1.0, [])
-    if not names:
+    return model._replace(head=_head(levels.where(F.col("level") == ORDER), model, head)) if names else model
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD) -> Model:
+    """Models of all languages among the labelled documents that are not held out."""
+    training = _training(docs, id_col, text_col, lang_col)
+    model = _counted(training, text_col, lang_col, head)
+    if not model.names:
         return model
-    model = model._replace(head=_head(levels.where(F.col("level") == ORDER), model, head))
-    share = min(1.0, sample_docs / max(training.count(), 1))
-    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = training.where(chosen).limit(2 * sample_docs)
-    measured = cross_entropies(sample, model, text_col, lang=F.col(lang_col).cast("string")).where("usable").collect()
-    entropy = np.array([[b / r["n"] / SCALE for b in r["bits"]] for r in measured]).reshape(-1, len(names))
-    label = np.array([names.index(r["lang"]) for r in measured], dtype=np.int64)
-    sharpness, limits = _calibrate(entropy, label, len(names))
-    return model._replace(sharpness=sharpness, limits=limits)
+    return _calibrated(model, written(cross_entropies(training, model, text_col, lang=F.col(lang_col).cast("string")), "training-bits"))
+
+
+def fitted_and_identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD
+) -> DataFrame:
+    """``identified`` by a model of the same documents; the training texts are measured once for both."""
+    model = _counted(_training(docs, id_col, text_col, lang_col), text_col, lang_col, head)
+    if not model.names:
+        return identified(docs, model, id_col, text_col)
+    # A label is kept only where it may be learnt from; predictions do not read it.
+    label = F.when(~held_out(id_col) & F.col(text_col).isNotNull(), F.col(lang_col).cast("string"))
+    kept = {"doc_id": F.col(id_col).cast("bigint"), "held_out": held_out(id_col), "lang": label}
+    measured = written(cross_entropies(docs, model, text_col, **kept), "all-bits")
+    return _scored(measured, _calibrated(model, measured.where("lang IS NOT NULL")))
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +403,10 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             doc_id.alias("doc_id"), held_out(id_col).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(True).alias("rejected"),
         )
-    measured = cross_entropies(docs, model, text_col, doc_id=doc_id, held_out=held_out(id_col))
+    return _scored(cross_entropies(docs, model, text_col, doc_id=doc_id, held_out=held_out(id_col)), model)
+
+
+def _scored(measured: DataFrame, model: Model) -> DataFrame:
     least = F.array_min("bits")
     best = F.array_position("bits", least).cast("int")
     excess = F.transform("bits", lambda b: F.exp((least - b) / F.col("n") * F.lit(model.sharpness / SCALE)))

@@ -361,6 +361,26 @@ LANGUAGE_TEXTS = [
 ]
 
 
+def test_language_calibration_reads_every_training_text(make_docs):
+    docs = make_docs([(i, f"{'abcdefghij'[i % 10]}{'klmnopq'[i % 7]} {chr(97 + i * i % 23)}ab" * (1 + i % 3), "xy"[i % 2], None) for i in range(9000)])
+    model = language.fit(docs)
+    training = docs.where(~language.held_out())
+    measured = language.cross_entropies(training, model, "text", lang=F.col("lang")).collect()
+    assert len(measured) > 4000
+    for j, name in enumerate(model.names):
+        own = [r.bits[j] / r.n / language.SCALE for r in measured if r.lang == name]
+        assert model.limits[j] == pytest.approx(np.quantile(own, language.OWN_SHARE), abs=3e-6)
+    label = [model.names.index(r.lang) for r in measured]
+    entropy = np.array([[b / r.n / language.SCALE for b in r.bits] for r in measured])
+
+    def loss(sharpness):
+        z = -sharpness * (entropy - entropy.min(axis=1, keepdims=True))
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(label)), label]).mean()
+
+    assert loss(model.sharpness) == pytest.approx(min(loss(c) for c in language.SHARPNESSES), abs=1e-6)
+    assert sorted(language.fitted_and_identified(docs).collect()) == sorted(language.identified(docs, model).collect())
+
+
 @pytest.mark.parametrize("head", [0, 60, language.HEAD])
 def test_kneser_ney_equals_brute_force(make_docs, head):
     """However few grams the head holds, all others come from the tables."""
