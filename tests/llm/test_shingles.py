@@ -123,3 +123,18 @@ def test_pairs_that_pass_the_sketch(parts):
     assert near <= found and near
     closest = set(zip(*(c.tolist() for c in shingles.across(node, group, part, size, bits, 80, True))))
     assert closest <= found and len(closest) <= 30 * 29 / 2
+
+
+def test_fine_sketches_drop_large_texts_that_share_a_passage_only(spark, make_docs):
+    """Two large texts with few words in common go, two that are alike stay, and small ones are left to the whole sets."""
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    rows = [
+        (0, " ".join(words("a", 3000)), "en", "a"), (1, " ".join(words("a", 1200) + words("b", 1800)), "en", "a"),
+        (2, " ".join(words("a", 2900) + words("c", 100)), "en", "a"), (3, "one two", "en", "a"), (4, "three four", "en", "a"),
+    ]
+    sketches = shingles._sketches(make_docs(rows, clash=False).selectExpr("doc_id AS node", "text"), shingles.WIDTH)
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (3, 4), (0, 3)], "a bigint, b bigint")
+    left = {(r.a, r.b) for r in shingles._sieved(pairs, sketches, shingles.PERCENT).collect()}
+    assert left == {(0, 2), (3, 4), (0, 3)}
