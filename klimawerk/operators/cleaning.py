@@ -63,20 +63,20 @@ def single_day() -> Column:
     return F.when(before == F.col("Date"), F.raise_error(message).cast("date")).otherwise(F.col("Date"))
 
 
-def fill_gaps(days: DataFrame) -> DataFrame:
+def fill_gaps(days: DataFrame, dealt: bool = False) -> DataFrame:
     """Complete years only; sentinels replaced.
 
     A measurement with 60 or more sentinels in a year is NULL for that whole year. Other sentinels become the mean of
     the valid values of that calendar day over all complete years, also of those that are set to NULL. NULL stays.
-    Two rows of one station and day are an error.
+    Two rows of one station and day are an error. Rows that are ``dealt`` to tasks by station already are not exchanged again.
     """
     year = f"over (partition by {', '.join(STATION_YEAR)})"
     calendar_day = f"over (partition by {', '.join(CALENDAR_DAY)})"
     # The exchange is stated, because the planner would place one for each window, after the inputs of the window functions,
     # which double the width of a row.
+    known = days.filter(F.col("Date").isNotNull())
     counted = (
-        days.filter(F.col("Date").isNotNull())
-        .repartition("station_id")
+        (known if dealt else known.repartition("station_id"))
         .withColumn("Date", single_day())
         .withColumns({
             "n_months": F.expr(f"bit_count({MONTH_SET} {year})"),
@@ -105,6 +105,6 @@ def add_flags(days: DataFrame) -> DataFrame:
     })
 
 
-def clean(raw: DataFrame) -> DataFrame:
+def clean(raw: DataFrame, dealt: bool = False) -> DataFrame:
     """Raw station rows to the cleaned daily table of all stations."""
-    return add_flags(fill_gaps(add_date_parts(raw)))
+    return add_flags(fill_gaps(add_date_parts(raw), dealt))
