@@ -17,10 +17,15 @@ from klimawerk.schema import STATION_FILE
 def station_id_of(path: Column) -> Column:
     """Station number: all digits before ``.txt``, at least four, as text of at least four digits; NULL without one.
 
-    ``<name>.txt`` may be a file or, when Spark wrote it, a folder of part files.
+    ``<name>.txt`` may be a file or, when Spark wrote it, a folder of part files. Every row asks for it, so only those two names
+    are searched for digits, not the whole path.
     """
-    digits = F.regexp_extract(path, r"(?<!\d)(\d{4,})\.txt(?:/[^/]*)?$", 1)
-    return F.when(digits != "", F.format_string("%04d", digits.try_cast("bigint")))
+    def number(name: Column) -> Column:
+        digits = F.regexp_extract(name, r"(?<!\d)(\d{4,})\.txt$", 1)
+        return F.when(name.endswith(".txt") & (digits != ""), F.format_string("%04d", digits.try_cast("bigint")))
+
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.coalesce(number(folder), number(F.substring_index(path, "/", -1)))
 
 
 REJECTED = "rejected_line"
@@ -115,18 +120,22 @@ def padded_columns(raw: DataFrame) -> list[Column]:
     return [padded(f) for f in STATION_FILE.fields]
 
 
-def write_station_files(raw: DataFrame, folder: str) -> None:
-    """Blank-padded station files, one ``..._<id>.txt`` folder per station below ``folder``.
+def write_station_files(raw: DataFrame, folder: str, dealt: bool = False) -> None:
+    """Blank-padded station files, one ``..._<id>.txt`` folder per station below ``folder``, with gzipped parts.
 
-    The rebalance splits a large station over several tasks and merges small ones.
+    The rebalance splits a large station over several tasks and merges small ones; rows that are ``dealt`` by station already are
+    written as they lie. They are sorted by file as numbers, a third as wide as their padded text.
     """
     name = F.format_string("produkt_klima_tag_%05d.txt", F.col("station_id").cast("int"))
+    rows = raw if dealt else raw.hint("rebalance", "station_id")
     (
-        raw.hint("rebalance", "station_id")
-        .select(*padded_columns(raw), name.alias("file"))
+        rows.withColumn("file", name)
+        .sortWithinPartitions("file")
+        .select(*padded_columns(raw), "file")
         .write.partitionBy("file")
         .option("sep", ";")
         .option("header", True)
+        .option("compression", "gzip")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("emptyValue", "")

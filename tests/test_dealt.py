@@ -2,13 +2,14 @@
 
 import io
 from contextlib import redirect_stdout
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from klimawerk.operators.cleaning import clean
 from klimawerk.session import fresh_folder
-from klimawerk.sources import materialised
+from klimawerk.sources import materialised, station_files
 from klimawerk.workload import inputs
 
 
@@ -35,3 +36,12 @@ def test_clean_table_of_dealt_rows(spark):
     # A station is in one file of each year.
     files = back.select("station_id", "Jahr", F.col("_metadata.file_name").alias("file")).distinct()
     assert files.groupBy("station_id", "Jahr").count().where("count > 1").isEmpty()
+
+
+def test_station_files_of_dealt_rows(spark):
+    raw = inputs.derive_daily(spark, SMALL)
+    folder = fresh_folder(spark, "test-dealt-files")
+    station_files.write_station_files(raw, folder, dealt=True)
+    assert all(p.name.endswith(".csv.gz") for p in Path(folder).glob("*/part-*"))
+    back = station_files.read_station_files(spark, f"{folder}/*").select(*raw.columns)
+    assert back.exceptAll(raw).isEmpty() and raw.exceptAll(back).isEmpty()
