@@ -138,3 +138,32 @@ def test_fine_sketches_drop_large_texts_that_share_a_passage_only(spark, make_do
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (3, 4), (0, 3)], "a bigint, b bigint")
     left = {(r.a, r.b) for r in shingles._sieved(pairs, sketches, shingles.PERCENT).collect()}
     assert left == {(0, 2), (3, 4), (0, 3)}
+
+
+def test_large_texts_that_share_a_passage_leave_no_bucket_as_pairs(spark, make_docs):
+    """Their short sketches let all of these 780 pairs pass; the fine ones are looked at before a pair is made."""
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"s{i}" for i in range(400))
+    texts = [f"{shared} " + " ".join(f"w{rng.integers(1 << 40)}" for _ in range(2000)) for _ in range(40)]
+    docs = make_docs([(i, text, "en", "a") for i, text in enumerate(texts)], clash=False).selectExpr("doc_id as node", "text")
+    shared = shingles.written(docs.select(shingles.F.lit(7).cast("bigint").alias("h"), "node"), "test-shared")
+    sketches = shingles._sketches(docs, shingles.WIDTH)
+    grouped = spark.createDataFrame([], "node bigint, component bigint")
+    pairs = shingles._apart(shared, sketches, grouped, shingles.PERCENT, False, None)
+    rows = pairs.collect()
+    assert rows == []
+    loose = shingles._apart(shared, sketches.withColumn("fine", shingles.F.lit(None).cast("binary")), grouped, shingles.PERCENT, False, None)
+    assert loose.count() > 700
+
+
+def test_links_that_are_stars_take_no_round(spark):
+    """Neither stars nor no links need a round; a chain does, and one pass more would not change it."""
+    from klimawerk.llm.components import components
+
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 2)], "a bigint, b bigint")
+    assert sorted(map(tuple, components(stars, max_rounds=1).collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert components(stars.where("a < 0"), max_rounds=1).collect() == []
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert sorted(map(tuple, components(chain).collect())) == [(i, 0) for i in range(41)]
+    with pytest.raises(RuntimeError):
+        components(chain, max_rounds=1)
