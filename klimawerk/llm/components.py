@@ -11,45 +11,40 @@ from klimawerk.llm.storage import written
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``; ``component`` is the smallest node that can be reached.
 
-    Links that are stars are settled, which one pass over them tells; others go through rounds. Each round joins every node's
-    larger neighbours to its smallest one, then its smaller ones too. Rounds grow with the logarithm of the number of nodes.
-    Minima are combined before the exchange and only links are joined back, so a node
+    Links that are stars are settled, which the table of every node's ends tells; it is then the result too. Others go through
+    rounds. Each round joins every node's larger neighbours to its smallest one, then its smaller ones too. Rounds grow with the
+    logarithm of the number of nodes. Minima are combined before the exchange and only links are joined back, so a node
     with very many neighbours is spread over tasks. No links give no rows.
     """
-    edges = written(_oriented(links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))), "links")
+    links = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a != b")
+    # The larger node comes first, here and after each round. A link may come twice here.
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     for _ in range(max_rounds):
-        if _settled(edges):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-            ).distinct()
-        edges = written(_small_star(_large_star(edges)), "links")
+        ends = _ends(edges)
+        # No node has a smaller neighbour and yet another one.
+        if ends.where("low < n and low != high").isEmpty():
+            return ends.select(F.col("n").alias("node"), F.least("n", "low").alias("component"))
+        edges = written(_small_star(_large_star(edges, ends)), "links")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    """Each link once, the larger node first."""
-    return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _ends(edges: DataFrame) -> DataFrame:
+    """(n, low, high): every node with its smallest and its largest neighbour."""
+    both = edges.select(F.col("a").alias("n"), F.col("b").alias("other")).unionByName(
+        edges.select(F.col("b").alias("n"), F.col("a").alias("other"))
+    )
+    # Written, so that both sides of a join are shuffled for it and Spark may split the partition of a hub.
+    return written(both.groupBy("n").agg(F.min("other").alias("low"), F.max("other").alias("high")), "ends")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    # Written, so that both sides of the join are shuffled for it and Spark may split the partition of a hub.
-    lowest = written(lowest, "lowest")
+def _large_star(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """As many links as there are, some perhaps twice."""
+    lowest = ends.select("n", F.least("n", "low").alias("m"))
     # A larger neighbour of n is the first node of an oriented link whose second is n.
-    return _oriented(edges.join(lowest, edges.b == lowest.n).select("a", F.col("m").alias("b")))
+    return edges.join(lowest, edges.b == lowest.n).select("a", F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     lowest = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _oriented(moved.unionByName(lowest.select("a", F.col("m").alias("b"))))
-
-
-def _settled(edges: DataFrame) -> bool:
-    """Whether all links are stars: no node is the larger one of two links, or of one and the smaller one of another."""
-    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).unionByName(
-        edges.select(F.col("b").alias("n"), F.lit(0).alias("larger"), F.lit(1).alias("smaller"))
-    )
-    sums = ends.groupBy("n").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
-    return sums.where("larger > 1 or (larger = 1 and smaller = 1)").isEmpty()
+    return moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()

@@ -98,6 +98,16 @@ def test_exact_index_takes_batches(make_docs, spark):
     assert {r.doc_id: (r.keep_id, r.kept) for r in again} == {6: (3, False), 7: (7, True)}
 
 
+def test_exact_index_has_a_file_for_each_bucket(make_docs, spark, monkeypatch):
+    """Into whatever number of partitions rows are dealt, a batch adds one file to a bucket and makes no compaction needed."""
+    docs = make_docs([(i, f"text {i}", None, None) for i in range(400)], clash=False)
+    deal = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *cols: deal(self, max(n, 90) if cols and isinstance(n, int) else n, *cols))
+    index = exact.DigestIndex.temporary(spark, buckets=4)
+    assert index.ingest(docs).where("kept").count() == 400
+    assert index.generation == 0 and len(index.rows().inputFiles()) <= 4 and index.rows().count() == 400
+
+
 def test_exact_index_of_another_application(make_docs, spark):
     """A session whose catalog does not know the index takes it up by its folder and loses no row."""
     path = fresh_folder(spark, "test-index")

@@ -167,3 +167,20 @@ def test_links_that_are_stars_take_no_round(spark):
     assert sorted(map(tuple, components(chain).collect())) == [(i, 0) for i in range(41)]
     with pytest.raises(RuntimeError):
         components(chain, max_rounds=1)
+
+
+def test_components_are_read_without_an_exchange(spark):
+    """The table of ends is the result; links given twice or in both directions change nothing."""
+    from klimawerk.llm.components import components
+
+    rng = np.random.default_rng(7)
+    pairs = [tuple(map(int, p)) for p in rng.integers(-300, 300, (260, 2))]
+    least = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    links = spark.createDataFrame(pairs + [p[::-1] for p in pairs[:50]] + pairs[:50] + [(1, None)], "a bigint, b bigint")
+    found = components(links)
+    assert dict(map(tuple, found.collect())) == least and found.count() == len(least)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
